@@ -42,7 +42,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     rows = rows.withColumn("place", F.row_number().over(equal.orderBy(first))).withColumn("piece_id", best("id").over(equal)).withColumn("piece_n", F.count(F.lit(1)).over(equal))
     rows = rows.withColumn("text_sha256", F.sha2(F.encode("t", "UTF-8"), 256))
     pieces = rows.filter((F.col("place") == 1) & (F.col("salt") > 0)).groupBy("t").agg(best("piece_id").alias("all_id"), F.sum("piece_n").alias("all_n"))
-    pieces = pieces.select(F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"), "all_id", "all_n")
+    pieces = pieces.select(F.coalesce(F.sha2(F.encode("t", "UTF-8"), 256), F.lit("")).alias("text_sha256"), "all_id", "all_n")  # coalesce: else a not-null test of the digest runs on every scanned row
     rows = rows.drop("t").join(F.broadcast(pieces), "text_sha256", "left")  # one row per hot text: under HOT_SHARE
     keep_id = F.when(F.col("all_n").isNull(), F.col("piece_id")).otherwise(F.col("all_id"))
     return rows.select(
