@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact
+from . import exact, mixing
 from .common import table
 
 QUERIES: dict = {}
@@ -26,3 +26,37 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op8_pareto_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+SQL["op8_pareto_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[((place - 1) % 3 + 1)::INT] AS weight FROM s
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM w
+), l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT min_by(level, ratio) FROM l WHERE ratio >= level)) AS target FROM l
+), e AS (
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
+    least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END, 2.0) AS expect,
+    (('0x' || md5('17:' || coalesce(d.doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, CASE WHEN expect > floor(expect) AND size > 0 THEN (u / (1 - u)) / ((expect - floor(expect)) / (1 - (expect - floor(expect)))) END AS rank FROM e
+), c AS (
+  SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    target - sum(size * floor(expect)) OVER (PARTITION BY source) AS need FROM q
+)
+SELECT doc_id, size, source_size, target, (size * (floor(expect) + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
