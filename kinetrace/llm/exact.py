@@ -13,6 +13,8 @@ from .common import partitions, text_of
 
 #: A text that makes up more than one row in HOT_SHARE is dealt over SALTS pieces; there are fewer than HOT_SHARE such texts.
 HOT_SHARE, HOT_LEAST, SALTS = 1000, 256, 64
+#: Characters of a text that splitters see.
+HEAD = 24
 
 
 def unchanged(text: Column) -> Column:
@@ -26,7 +28,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     the empty text. A null key never stays while its group has another key; repeated rows count one by one and
     exactly one of them stays. An empty table gives an empty result. Other columns are ignored, whatever their names.
 
-    Hot texts are sorted as (text, salt) pieces, so that no task gets a whole group; each piece then gives one row and
+    Hot texts are sorted as (salt, text) pieces, so that no task gets a whole group; each piece then gives one row and
     the pieces of a text are compared in full again to find the survivor.
     """
     cols = [df[key].alias("id"), normalise(text_of(df, text)).alias("t")] + ([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else [])
@@ -34,9 +36,11 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     total = df.select(F.count(F.lit(1))).first()[0]
     hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > HOT_LEAST) & (F.col("n") * HOT_SHARE > total)).select("h", F.lit(True).alias("hot"))
     rows = rows.join(F.broadcast(hot), "h", "left")  # under HOT_SHARE rows of 9 bytes
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("h", "hot")
-    rows = rows.repartitionByRange(partitions(df.sparkSession), "t", "salt")
-    equal = Window.partitionBy("t", "salt")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("hot")
+    # the sort order is (head, hash, whole text): the splitters' sample, which goes to the driver, holds short keys only,
+    # and texts that share a head still spread; equal texts agree in all three
+    rows = rows.withColumn("head", F.substring("t", 1, HEAD)).repartitionByRange(partitions(df.sparkSession), "head", "h", "salt")
+    equal = Window.partitionBy("head", "h", "salt", "t")
     first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
     best = F.min if keep == "min" else F.max
     rows = rows.withColumn("place", F.row_number().over(equal.orderBy(first))).withColumn("piece_id", best("id").over(equal)).withColumn("piece_n", F.count(F.lit(1)).over(equal))
