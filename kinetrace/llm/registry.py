@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, mixing
+from . import exact, idstore, mixing, packing, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -60,3 +60,18 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * (floor(expect) + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
+
+
+@query
+def op5_cost_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_id_store(spark, sf_dir):
+    return idstore.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash_pivots(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
