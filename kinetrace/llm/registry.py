@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, idstore, mixing, packing, simhash
+from . import chat, exact, idstore, mixing, packing, quality, simhash, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,55 @@ def op6_id_store(spark, sf_dir):
 @query
 def op7_simhash_pivots(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_index(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op3_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to FROM g
+"""
+
+
+@query
+def op4_chat_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    return chat.round_trip(rows.unionByName(own))
+
+
+SQL["op4_chat_parts"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, (length(text) - length(replace(text, '\', ''))) + len(regexp_extract_all(text, '<s>|</s>|<<SYS>>|<</SYS>>|<\||\[INST\]|\[/INST\]')) AS text_more,
+    (length(role) - length(replace(role, '\', ''))) + len(regexp_extract_all(role, '<s>|</s>|<<SYS>>|<</SYS>>|<\||\[INST\]|\[/INST\]')) AS role_more
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(23 + length(role) + role_more + length(text) + text_more)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op9_url_rules(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+SQL["op9_url_rules"] = urls.reference_sql()
+
+
+@query
+def op10_repetition_rules(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
