@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact, idstore, mixing, packing, quality, simhash, urls, warc
+from . import chat, exact, idstore, mixing, packing, pii, quality, simhash, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ SQL["op9_url_rules"] = urls.reference_sql()
 @query
 def op10_repetition_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pii_boosting(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
