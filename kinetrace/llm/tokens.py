@@ -9,23 +9,30 @@ from __future__ import annotations
 
 import re
 
-#: Chunks kept per worker; when full, the store starts afresh.
-KEEP = 200_000
+#: Chunks kept per worker in each of two generations; chunks still in use move to the younger one.
+KEEP = 400_000
 #: Longer chunks are encoded each time.
 LONGEST = 64
+#: ASCII punctuation but the apostrophe, which the cutting pattern treats apart.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this code point are letters in every version of the Unicode tables.
+SETTLED = "\u0530"
 
 
 class _Store(dict):
-    def __init__(self, tokenizer, prefix: str):
+    """Ids of chunks, as bytes, each with a prefix in front."""
+
+    def __init__(self, encode, prefix: str):
         super().__init__()
-        self.encode, self.prefix = tokenizer, prefix
+        self.encode, self.prefix, self.old = encode, prefix, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        import numpy as np
-
-        ids = np.asarray(self.encode(self.prefix + chunk), "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(self.prefix + chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= KEEP:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -40,23 +47,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.whole = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-        self.special = [x["content"] for x in json.loads(tokenizer.to_str())["added_tokens"]]
-        self.first, self.rest = _Store(self.whole, ""), _Store(self.whole, " ")
+        layout = json.loads(tokenizer.to_str())
+        self.special = [x["content"] for x in layout["added_tokens"]]
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        plain = layout["normalizer"] is None and layout["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.letters = _alphabet() if plain and layout["model"]["type"] == "BPE" else None
+        self.space, self.raw = _alphabet()[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.tails = _Store(self.merge, "")
+        self.first, self.rest = _Store(self.chunk, ""), _Store(self.chunk, " ")
         self.split = re.compile(r"(?<=\S) (?=\S)").split
-        self.runs = re.compile(r"\s\s|^\s|\s$").search
+        self.cut = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +").findall  # the byte-level pattern on printable ASCII
+        self.odd = re.compile(r"[^\S \n]").search
 
-    def __call__(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         import numpy as np
 
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def merge(self, piece: str) -> bytes:
+        """Merges alone, for what the cutting pattern leaves in one piece."""
+        mapped = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(mapped)])
+
+    def chunk(self, chunk: str) -> bytes:
+        """A chunk with its leading space: a word and punctuation behind it are one piece each; other ASCII is cut here, the rest by the library."""
+        core = chunk.rstrip(TAIL)
+        word = core[1:] if core[:1] == " " else core
+        if self.letters is None or not word.isalpha() or not (word.isascii() or max(word) < SETTLED):
+            if self.letters is not None and chunk.isascii() and chunk.isprintable():
+                return b"".join(map(self.merge, self.cut(chunk)))
+            return self.whole(chunk)
+        return self.merge(core) + (self.tails[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+
+    def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.asarray(self.whole(text), "<u4").tobytes()
-        chunks = self.split(text) if self.runs(text) else text.split(" ")
+            return self.whole(text)
+        # white space beside a space, or other than a space or line feed: cut between non-space characters only
+        runs = "  " in text or "\n " in text or " \n" in text or text[0].isspace() or text[-1].isspace() or self.odd(text)
+        chunks = self.split(text) if runs else text.split(" ")
         return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
 
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 _encoders: dict[str, Encoder] = {}
 
 
