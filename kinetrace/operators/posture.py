@@ -62,7 +62,7 @@ def smooth(df: DataFrame, by: list[str], time: str, machine: Machine = Machine()
         pdf = pdf.sort_values(time, kind="stable")
         return pdf.assign(state_sm=run(pdf, [machine])[0])
 
-    schema = runs.schema.add("state_sm", T.IntegerType())
+    schema = T.StructType([*runs.schema.fields, T.StructField("state_sm", T.IntegerType())])
     return runs.groupBy(*by, "_run").applyInPandas(one, schema).drop("_run")
 
 
@@ -91,8 +91,8 @@ def tune(df: DataFrame, by: list[str], time: str, target: str, gap: int = 750, g
                     now, state = key, np.full(len(grid), int(lying[i] > upright[i]))
                     asking, dwell = np.zeros(len(grid), "i8"), dwell_min.copy()
                 else:
-                    lead = (lying[i] + weight * down[i]) - (upright[i] + weight * up[i])
-                    other = np.where(state == 0, lead > margin, -lead > margin)
+                    to_lying, to_upright = lying[i] + weight * down[i], upright[i] + weight * up[i]
+                    other = np.where(state == 0, to_lying > to_upright + margin, to_upright > to_lying + margin)
                     asking = np.where(other, asking + 1, 0)
                     turn = other & (dwell >= dwell_min) & (asking >= confirm)
                     state = np.where(turn, 1 - state, state)
