@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, small, text_of
 
 #: Ranks are counted in this many bins per source; only the bin that holds the cut is ever sorted.
-BINS = 65_536
+BINS, COARSE = 65_536, 256
 SEED = 17
 
 
@@ -77,10 +77,16 @@ def mix(
 
     by_source = Window.partitionBy("source")
     rows = ranked(narrow)
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("sure")).alias("certain"), F.max("target").alias("goal"))
-    bins = bins.withColumn("need", F.max("goal").over(by_source) - F.sum("certain").over(by_source)).filter("bin IS NOT NULL")
-    bins = bins.withColumn("upto", F.sum("words").over(by_source.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    at = bins.filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min("bin").alias("cut_bin"), F.min_by("need", "bin").alias("need"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"))
+    # the cut is narrowed digit by digit: COARSE bins, then the COARSE fine bins of one, so that no source sums up many
+    so_far = lambda c: F.sum("words").over(by_source.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    bins = rows.withColumn("coarse", F.floor(F.col("bin") / COARSE)).groupBy("source", "coarse").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("sure")).alias("certain"), F.max("target").alias("goal"))
+    bins = bins.withColumn("need", F.max("goal").over(by_source) - F.sum("certain").over(by_source)).filter("coarse IS NOT NULL")
+    bins = bins.withColumn("upto", so_far("coarse"))
+    at = bins.filter(F.col("upto") > F.col("need")).groupBy(F.col("source").alias("s")).agg(F.min("coarse").alias("cut_coarse"), F.min_by("need", "coarse").alias("need"), F.min_by(F.col("upto") - F.col("words"), "coarse").alias("base"))
+    at = cut(at, "mix-coarse")
+    fine = rows.join(small(at), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("bin") / COARSE) == F.col("cut_coarse")))
+    fine = fine.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("need").alias("need"), F.max("base").alias("base")).withColumn("upto", F.col("base") + so_far("bin"))
+    at = fine.filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min("bin").alias("cut_bin"), F.min_by("need", "bin").alias("need"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"))
     at = cut(at.withColumnRenamed("source", "s"), "mix-bins")
     place = F.struct("rank", "id", "size", "tie")
     near = rows.join(small(at), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cut_bin")))
