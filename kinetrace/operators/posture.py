@@ -44,26 +44,24 @@ class State:
         return self.state
 
 
-def run(frame, machines: list[Machine]):
-    """States of one run for each machine, as lists; ``frame`` has upright, lying, up, down in order."""
-    rows = list(zip(*(frame[c].to_list() for c in ("upright", "lying", "up", "down")), strict=True))
-    out = []
-    for m in machines:
-        s = State()
-        out.append([s.step(m, *r) for r in rows])
-    return out
-
-
 def smooth(df: DataFrame, by: list[str], time: str, machine: Machine = Machine()) -> DataFrame:
     """``df`` (by, time, upright, lying, up, down) with state_raw and state_sm; runs end at gaps."""
     runs = with_segments(df, by, time, machine.gap, name="_run").withColumn("state_raw", (F.col("lying") > F.col("upright")).cast("int"))
 
-    def one(pdf):
-        pdf = pdf.sort_values(time, kind="stable")
-        return pdf.assign(state_sm=run(pdf, [machine])[0])
-
     schema = T.StructType([*runs.schema.fields, T.StructField("state_sm", T.IntegerType())])
-    return runs.groupBy(*by, "_run").applyInPandas(one, schema).drop("_run")
+
+    def walk(frames):
+        now, state = None, State()
+        for pdf in frames:
+            keys, out = list(zip(*(pdf[c] for c in (*by, "_run")), strict=True)), []
+            for key, *row in zip(keys, pdf["upright"], pdf["lying"], pdf["up"], pdf["down"], strict=True):
+                if key != now:
+                    now, state = key, State()
+                out.append(state.step(machine, *row))
+            yield pdf.assign(state_sm=np.array(out, "i4"))
+
+    # runs stream through their partition in order: no group is held, and a long series spreads by its runs
+    return runs.repartition(*by, "_run").sortWithinPartitions(*by, "_run", time).mapInPandas(walk, schema).drop("_run")
 
 
 GRID = [Machine(c, d, m, w) for c, d, m, w in product((2, 4, 6, 10), (2, 4, 10, 20), (0.0, 0.10, 0.20, 0.30), (0.0, 0.25, 0.50, 1.0))]
