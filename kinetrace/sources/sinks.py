@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """Parquet, else CSV (gzip by its name) with a header; a byte-order mark is dropped from the first name."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except (AnalysisException, Py4JJavaError):  # no footer to read: not Parquet
         d = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
         return d.toDF(*[c.lstrip("﻿") for c in d.columns])
 
