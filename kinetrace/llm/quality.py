@@ -128,3 +128,23 @@ def keep_good(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> D
         return texts.map(lambda t: measure(t, limits)[6])
 
     return df.filter(good(text_of(df, text)))
+
+
+def reference_sql(limits: Limits = Limits()) -> str:
+    """DuckDB SQL that compares every n-gram with every other of its document."""
+    parts, joins, shares = [], [], []
+    for n, most in limits.gram_chars:
+        parts.append(f"""
+g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}))),
+c{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[p])) AS chars FROM (SELECT DISTINCT doc_id, i + k AS p FROM g{n}, (SELECT unnest(range({n})) AS k) WHERE times > 1) JOIN d USING (doc_id) GROUP BY doc_id)""")
+        joins.append(f"LEFT JOIN c{n} USING (doc_id)")
+        shares.append(f"coalesce(c{n}.chars, 0) / nullif(word_chars, 0) / {most}")
+    space = "[\\x20\\x09-\\x0D]"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l0 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS seen FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+l AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '{space}', '', 'g'))) AS chars FROM l0 WHERE seen > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),{",".join(parts)},
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '{space}', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM d),
+s AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c5.words, 0) AS n_repeat_words, coalesce(l.chars / nullif(word_chars, 0), 0) AS line_share, coalesce(greatest({", ".join(shares)}), 0) AS gram_share FROM m LEFT JOIN l USING (doc_id) {" ".join(joins)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {limits.least_words} OR 100 * n_repeat_words > {round(100 * limits.repeat_words)} * n_words AS base_failed,
+  NOT (n_words < {limits.least_words} OR 100 * n_repeat_words > {round(100 * limits.repeat_words)} * n_words) AND line_share <= {limits.line_chars} AND gram_share <= 1 AS kept FROM s"""
