@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-BLOCK = 256
+BLOCK = 128
 
 
+@lru_cache(maxsize=64)
 def butterworth(order: int, cutoff: float | tuple[float, float], rate: float) -> np.ndarray:
     """Second-order sections [b0 b1 b2 1 a1 a2] of a low-pass (one cut-off) or band-pass (two), by bilinear transform."""
     poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
@@ -28,33 +31,35 @@ def butterworth(order: int, cutoff: float | tuple[float, float], rate: float) ->
     return sections
 
 
-def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section over (n, channels) in blocks: a block's output is its own response plus that of the state before it."""
-    b0, b1, b2, _, a1, a2 = s
-    n, channels = x.shape
-    step = np.array([[-a1, 1.0], [-a2, 0.0]])
-    entry = np.array([b1 - a1 * b0, b2 - a2 * b0])
+@lru_cache(maxsize=256)
+def _block_form(section: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """Of one section: a block's response to itself, to the state before it, what it leaves, and the state's step."""
+    b0, b1, b2, _, a1, a2 = section
+    step, entry = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = np.empty((BLOCK + 1, 2, 2))
     powers[0] = np.eye(2)
     for i in range(BLOCK):
         powers[i + 1] = step @ powers[i]
-    seen = powers[:BLOCK, 0, :]  # what a state adds to each output of its block
     impulse = np.concatenate([[b0], powers[: BLOCK - 1, 0, :] @ entry])
     lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
-    response = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-    carry = (powers[BLOCK - 1 :: -1] @ entry).T  # 2 x BLOCK: what a block leaves in the state
-    out = np.empty_like(x)
-    whole = n // BLOCK
-    blocks = x[: whole * BLOCK].reshape(whole, BLOCK, channels)
-    own, left = np.einsum("ij,bjc->bic", response, blocks, optimize=True), np.einsum("ki,bic->bkc", carry, blocks, optimize=True)
+    return np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), powers[:BLOCK, 0, :], (powers[BLOCK - 1 :: -1] @ entry).T, powers[BLOCK]
+
+
+def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section over (n, channels) in blocks: own responses are one matrix product, states go from block to block."""
+    response, seen, carry, leap = _block_form(tuple(s))
+    n, channels = x.shape
+    whole = -(-n // BLOCK)
+    blocks = np.zeros((whole * BLOCK, channels))
+    blocks[:n] = x
+    wide = blocks.reshape(whole, BLOCK, channels).transpose(1, 0, 2).reshape(BLOCK, -1)
+    left = (carry @ wide).reshape(2, whole, channels).transpose(1, 0, 2)
+    states = np.empty((whole, 2, channels))
     for k in range(whole):
-        out[k * BLOCK : (k + 1) * BLOCK] = own[k] + seen @ state
-        state = powers[BLOCK] @ state + left[k]
-    rest = x[whole * BLOCK :]
-    if len(rest):
-        m = len(rest)
-        out[whole * BLOCK :] = response[:m, :m] @ rest + seen[:m] @ state
-    return out
+        states[k] = state
+        state = leap @ state + left[k]
+    out = response @ wide + seen @ states.transpose(1, 0, 2).reshape(2, -1)
+    return out.reshape(BLOCK, whole, channels).transpose(1, 0, 2).reshape(-1, channels)[:n]
 
 
 def forward(sections: np.ndarray, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
