@@ -1,7 +1,8 @@
 """Token ids in binary shards with a minimal perfect hash index from document keys to places.
 
-A shard file holds, in this order: header (8 little-endian unsigned 64-bit integers: magic, documents, ids, distinct
-keys, index levels, words of level bits, bytes of the tail, version), the raw ids (unsigned 32-bit), and the tail: the
+A shard file holds, in this order: header (9 little-endian unsigned 64-bit integers: magic, documents, ids, distinct
+keys, index levels, bytes of level bits, bytes of the tail, version, bytes per id), the raw ids (unsigned, 2 bytes
+each where the vocabulary fits, else 4), and the tail: the
 hash levels' bit sets, their rank samples, and for each hash slot the key's fingerprint (32-bit), first id, first
 document and number of documents, then each document's number of ids. The slot of a key is found by at most a few
 probes and checked by its fingerprint, so reading by key takes constant time and no key is stored.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import file_system, partitions, put_file, shared_dir, text_of
 from .tokens import default_tokenizer, encoder
 
-MAGIC, VERSION = 0x6B74_6964_7368_6431, 1
+MAGIC, VERSION, HEAD = 0x6B74_6964_7368_6431, 2, 72
 #: Bits per remaining key and level; about half of the keys settle in each level.
 SPREAD = 2.0
 #: Key that stands for null in the index.
@@ -77,12 +78,12 @@ def fingerprints(keys):
     return (mixed(keys, 1000) & np.uint64(0xFFFFFFFF)).astype("u4")
 
 
-def write_shard(out, keys, ids: list[bytes]) -> int:
-    """Write one shard of ascending keys; returns the number of ids."""
+def write_shard(out, keys, ids: list[bytes], width: int = 4) -> int:
+    """Write one shard of ascending keys, ids being of the given width; returns the number of ids."""
     import numpy as np
 
     keys = np.asarray(keys, "i8")
-    lengths = np.fromiter((len(x) // 4 for x in ids), "u8", len(ids))
+    lengths = np.fromiter((len(x) // width for x in ids), "u8", len(ids))
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("u8")
     distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
     index = Index.build(distinct)
@@ -93,7 +94,7 @@ def write_shard(out, keys, ids: list[bytes]) -> int:
     bits = np.packbits(np.concatenate(index.levels)) if index.levels else np.zeros(0, "u1")
     tail = sizes.tobytes() + bits.tobytes() + table.tobytes() + lengths.astype("<u8").tobytes()
     n = int(starts[-1])
-    out.write(np.array([MAGIC, len(keys), n, len(distinct), len(sizes), len(bits), len(tail), VERSION], "<u8").tobytes())
+    out.write(np.array([MAGIC, len(keys), n, len(distinct), len(sizes), len(bits), len(tail), VERSION, width], "<u8").tobytes())
     for x in ids:
         out.write(x)
     out.write(tail)
@@ -108,10 +109,10 @@ class Shard:
 
         fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
-        magic, self.docs, self.ids, distinct, n_levels, n_bits, n_tail, version = map(int, np.frombuffer(self.file.read_at(64, 0), "<u8"))
+        magic, self.docs, self.ids, distinct, n_levels, n_bits, n_tail, version, self.width = map(int, np.frombuffer(self.file.read_at(HEAD, 0), "<u8"))
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"not a shard of version {VERSION}: {uri}")
-        tail = self.file.read_at(n_tail, 64 + 4 * self.ids)
+        tail = self.file.read_at(n_tail, HEAD + self.width * self.ids)
         sizes = np.frombuffer(tail, "<u8", n_levels).astype("i8")
         bits = np.unpackbits(np.frombuffer(tail, "u1", n_bits, 8 * n_levels))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -131,11 +132,14 @@ class Shard:
         return np.where(known, slots, -1)
 
     def read(self, slot: int, turn: int = 0) -> tuple[int, bytes]:
-        """First id (counted in the shard) and ids of the slot's document; ``turn`` picks among rows of one key."""
+        """First id (counted in the shard) and 32-bit ids of the slot's document; ``turn`` picks among rows of one key."""
+        import numpy as np
+
         entry = self.table[slot]
         doc = int(entry["doc"])
         start = int(entry["id"]) + int(self.lengths[doc : doc + turn].sum())
-        return start, self.file.read_at(4 * int(self.lengths[doc + turn]), 64 + 4 * start)
+        raw = self.file.read_at(self.width * int(self.lengths[doc + turn]), HEAD + self.width * start)
+        return start, raw if self.width == 4 else np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
 
 
 def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, tokenizer: str | None = None, shards: int | None = None) -> DataFrame:
@@ -146,6 +150,7 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     writes nothing. The splitters are quantiles of the keys, read without the texts.
     """
     path, spark = tokenizer or default_tokenizer(), df.sparkSession
+    width = 2 if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     n = shards or partitions(spark)
     known = df.select(F.coalesce(df[key].cast("long"), F.lit(NULL_KEY)).alias("key"), text_of(df, text).alias("t"))
     marks = known.select(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("marks")).first()["marks"] if n > 1 else None
@@ -159,9 +164,12 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     def encode(batches):
         import pyarrow as pa
 
+        import numpy as np
+
         run, end = encoder(path), end_id.to_bytes(4, "little")
+        narrow = lambda x: x if width == 4 else np.frombuffer(x, "<u4").astype("<u2").tobytes()
         for batch in batches:
-            ids = pa.array([run(t.as_py()) + end for t in batch.column("t")], pa.binary())
+            ids = pa.array([narrow(run(t.as_py()) + end) for t in batch.column("t")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), ids], names=["shard", "key", "ids"])
 
     def save(batches):
@@ -169,7 +177,7 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
 
         def done(number, keys, ids):
             uri, sizes = f"{folder}/shard-{number:06d}.ids", []
-            put_file(uri, lambda out: sizes.append(write_shard(out, keys, ids)))
+            put_file(uri, lambda out: sizes.append(write_shard(out, keys, ids, width)))
             return pa.RecordBatch.from_pylist([{"shard": number, "path": uri, "docs": len(keys), "ids": sizes[-1]}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
         now, keys, ids = None, [], []

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 #: Chunks kept per worker in each of two generations; chunks still in use move to the younger one.
-KEEP = 400_000
+KEEP = 700_000
 #: Longer chunks are encoded each time.
 LONGEST = 64
 #: ASCII punctuation but the apostrophe, which the cutting pattern treats apart.
@@ -22,11 +22,15 @@ SETTLED = "\u0530"
 class _Store(dict):
     """Ids of chunks, as bytes, each with a prefix in front."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode, prefix: str, tails: _Store | None = None):
         super().__init__()
-        self.encode, self.prefix, self.old = encode, prefix, {}
+        self.encode, self.prefix, self.tails, self.old = encode, prefix, tails, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.tails is not None:  # a word with punctuation behind it is two pieces: only the word is kept
+            word = chunk.rstrip(TAIL)
+            if len(word) < len(chunk) and _is_word(word):
+                return self[word] + self.tails[chunk[len(word) :]]
         ids = self.old.get(chunk)
         if ids is None:
             ids = self.encode(self.prefix + chunk)
@@ -38,6 +42,10 @@ class _Store(dict):
         return ids
 
 
+def _is_word(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or max(text) < SETTLED)
+
+
 class Encoder:
     """``encoder(text)``: the text's ids as little-endian unsigned 32-bit integers."""
 
@@ -53,8 +61,8 @@ class Encoder:
         plain = layout["normalizer"] is None and layout["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.letters = _alphabet() if plain and layout["model"]["type"] == "BPE" else None
         self.space, self.raw = _alphabet()[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-        self.tails = _Store(self.merge, "")
-        self.first, self.rest = _Store(self.chunk, ""), _Store(self.chunk, " ")
+        tails = _Store(self.merge, "") if self.letters else None
+        self.first, self.rest = _Store(self.chunk, "", tails), _Store(self.chunk, " ", tails)
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.cut = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +").findall  # the byte-level pattern on printable ASCII
         self.odd = re.compile(r"[^\S \n]").search
@@ -71,14 +79,13 @@ class Encoder:
         return b"".join([raw[t.id] for t in self.model.tokenize(mapped)])
 
     def chunk(self, chunk: str) -> bytes:
-        """A chunk with its leading space: a word and punctuation behind it are one piece each; other ASCII is cut here, the rest by the library."""
-        core = chunk.rstrip(TAIL)
-        word = core[1:] if core[:1] == " " else core
-        if self.letters is None or not word.isalpha() or not (word.isascii() or max(word) < SETTLED):
-            if self.letters is not None and chunk.isascii() and chunk.isprintable():
+        """A chunk with its leading space, other than a word with punctuation: a word is one piece, other ASCII is cut here, the rest by the library."""
+        if self.letters is not None:
+            if _is_word(chunk[1:] if chunk[:1] == " " else chunk):
+                return self.merge(chunk)
+            if chunk.isascii() and chunk.isprintable():
                 return b"".join(map(self.merge, self.cut(chunk)))
-            return self.whole(chunk)
-        return self.merge(core) + (self.tails[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+        return self.whole(chunk)
 
     def __call__(self, text: str) -> bytes:
         if not text:
