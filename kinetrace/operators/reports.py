@@ -79,7 +79,7 @@ def positive_weight(df: DataFrame, by: list[str], positive: Column, most: float
 
 def storage(cows: Column, days: Column, rate: int = 50) -> list[Column]:
     """frames, and GiB at 52 and 18 bytes a frame."""
-    frames = (cows * days * 24 * 3600 * rate).cast("long")
+    frames = cows.cast("long") * days * 24 * 3600 * rate
     gib = lambda b: frames * b / (1024.0**3)
     return [frames.alias("frames"), gib(52).alias("gib_schema1"), gib(18).alias("gib_schema2"), (F.lit(52) / F.lit(18)).alias("ratio")]
 

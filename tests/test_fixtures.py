@@ -418,3 +418,32 @@ def test_chunks_with_halo():
     for steps, size, halo in ((10, 4, 2), (7, 7, 3), (1, 5, 9), (23, 5, 100)):
         kept = [k for lo, hi, a, b in chunks(steps, size, halo) for k in range(lo + a, lo + b)]
         assert kept == list(range(steps)) and all(0 <= lo <= hi <= steps for lo, hi, *_ in chunks(steps, size, halo))
+
+
+def test_legacy_caches(spark, tmp_path):
+    import json
+
+    from kinetrace.sources import legacy
+
+    for key, kind in (("one", "i2"), ("two", "f4")):
+        (tmp_path / key).mkdir()
+        np.save(tmp_path / key / "signal.npy", np.arange(120).reshape(10, 12).astype(kind))
+        (tmp_path / key / "metadata.json").write_text(json.dumps({"schema_version": 2, "cow_id": "c", "frames": 10}))
+    d = legacy.read_arrays(spark, str(tmp_path))
+    assert d.count() == 20 and d.filter("cache_key = 'two' AND frame_index = 3").first().acc_y == 37
+    assert legacy.read_documents(spark, str(tmp_path)).first().segments[0].stop_index == 10
+    with pytest.raises(ValueError, match="cache key"):
+        legacy.checked_key("../x")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kinetrace import cli
+
+    assert cli.main(["plan-storage", "--cows", "200", "--days", "7"]) == 0
+    r = __import__("json").loads(capsys.readouterr().out)
+    assert r["frames"] == 200 * 7 * 24 * 3600 * 50 and 95 < r["gib_schema2"] < 110 and r["ratio"] > 2.5
+    spark.createDataFrame([("e", "x", "c1", "s", 0, 5), ("e", "x", "c1", "s", 5, 5)], "event_id string, code string, cow_id string, session_id string, t_start_rel_ms long, t_end_rel_ms long").write.parquet(str(tmp_path / "a"))
+    assert cli.main(["check-data", str(tmp_path / "a")]) == 1
+    spark.createDataFrame([(f"c{i}", "included") for i in range(5)], "cow_id string, status string").write.parquet(str(tmp_path / "s"))
+    assert cli.main(["make-splits", str(tmp_path / "s"), str(tmp_path / "folds")]) == 0
+    assert spark.read.parquet(str(tmp_path / "folds")).count() == 25
