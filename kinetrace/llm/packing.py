@@ -17,7 +17,7 @@ from .common import text_of
 from .tokens import default_tokenizer, encoder
 
 #: Documents per block; a block is what one call has in memory (lengths and remainders of under one sequence each).
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (projections against attention scores).
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
