@@ -97,7 +97,7 @@ def read_run(uri: str, low=None, high=None):
             marks = json.loads(f.read_at(end - 16 - stop, stop))
             for offset, text in marks:
                 key, stamp, number = text.encode().split(b" ")
-                if (key, stamp, int(number)) > low:
+                if (key, stamp, int(number)) >= low:  # lines of this key may stand before its mark
                     break
                 at = offset
         rest = b""

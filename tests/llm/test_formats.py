@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,6 +141,14 @@ def test_capture_index_is_globally_ordered(spark, monkeypatch):
     assert len(keys) == 200 and keys == sorted(keys) and len({r.range for r in index}) > 1
 
 
+def test_captures_keep_repeated_keys(spark):
+    rows = [("http://a.b/hot", 7)] * 4000 + [(None, None)] * 2000 + [(f"http://a.b/{i % 50}", i) for i in range(2000)]
+    folder = shared_dir(spark, "warc")
+    index = warc.captures(spark, warc.write_archives(pages(spark, [(i, u, "x") for u, i in rows]).repartition(3), folder), folder, ranges=5).collect()
+    got = Counter(r.page for r in index)
+    assert got == Counter(-1 if i is None else i for _, i in rows) and len({(r.file, r.at) for r in index}) == len(rows)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7])
 def test_loser_tree(k):
     r = random.Random(k)
