@@ -184,6 +184,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(df: DataFrame, key: str, text: str, shingle: int, seed: int, distance: int, groups: int) -> DataFrame:
+    """One row per input row: id, h, fp, root (a fingerprint that names the component), component_id."""
+    rows = cut(with_fingerprints(df, key, text, shingle, seed), "simhash-prints")
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    roots = components(links(prints.select("fp"), distance, groups))
+    linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(linked.select("fp", "root").join(best, "root"), "fp").select("id", "h", "fp", "root", "component_id")
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
     """One row per input row: key, h, fp, component_id (smallest key reachable over links, itself included).
 
@@ -191,29 +201,22 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     its component has another key. Repeated rows each get a row. An empty table gives an empty result; extra columns
     are ignored.
     """
-    rows = cut(with_fingerprints(df, key, text, shingle, seed), "simhash-prints")
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(links(prints.select("fp"), distance, groups))
-    linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(key), "h", "fp", "component_id")
+    return _rooted(df, key, text, shingle, seed, distance, groups).select(F.col("id").alias(key), "h", "fp", "component_id")
+
 
+def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+    """One row of each component: smallest key, nulls last, then text hash; same columns.
 
-def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input's rows that carry their component's smallest key, one of each; same columns."""
-    groups = cut(near_groups(df, key, text, **options).select(F.col(key).alias("id"), "h", "component_id"), "simhash-groups")
-    keep = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "h")).alias("k"), F.count(F.lit(1)).alias("n"))
-    keep = cut(keep.select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h"), "n"), "simhash-keep")
-    rows = df.select(df[key].cast("long").alias("keep_id"), F.xxhash64(text_of(df, text)).alias("keep_h"), F.struct(*[df[c] for c in df.columns]).alias("row"))
-    one = rows.join(keep.filter("keep_id IS NOT NULL"), ["keep_id", "keep_h"])
+    Components are told apart by their root: keys may be null or repeat over unlike texts.
+    """
+    rooted = _rooted(df, key, text, shingle, seed, distance, groups).groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("k"))
+    keep = cut(keep.select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h"), F.col("k.n").alias("n")), "simhash-keep")
+    rows = df.select(df[key].cast("long").alias("id"), F.xxhash64(text_of(df, text)).alias("h"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+    one = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))).select("id", "h", "n", "row")
     if not keep.filter("n > 1").isEmpty():  # rows that repeat key and text: any one of them
-        w = Window.partitionBy("keep_id", "keep_h").orderBy("keep_id")
+        w = Window.partitionBy("id", "h").orderBy("id")
         one = one.filter("n = 1").unionByName(one.filter("n > 1").withColumn("i", F.row_number().over(w)).filter("i = 1").drop("i"))
-    lone = keep.filter("keep_id IS NULL")  # components of null keys only
-    if not lone.isEmpty():
-        more = rows.filter("keep_id IS NULL").join(lone.select("keep_h", "n"), "keep_h").withColumn("i", F.row_number().over(Window.partitionBy("keep_h").orderBy("keep_h"))).filter("i = 1").drop("i")
-        one = one.unionByName(more, allowMissingColumns=True)
     return one.select("row.*")
 
 

@@ -125,6 +125,14 @@ def test_near_drop_keeps_one_of_each(spark):
     assert kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_near_drop_keeps_components_of_null_and_repeated_keys(spark):
+    unlike = [" ".join(hashlib.md5(f"{k} {w}".encode()).hexdigest() for w in range(30)) for k in range(12)]
+    rows = [(None, t, "s") for t in unlike[:6]] + [(7, t, "s") for t in unlike[6:]] + [(None, unlike[0], "s"), (7, unlike[6], "s"), (None, unlike[7], "s")]
+    kept = simhash.drop_near(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(r.text for r in kept) == sorted(unlike)
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted(unlike[6:])
+
+
 def plain_quality(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
