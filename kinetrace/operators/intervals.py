@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .timeline import over
 
-#: Matching groups are folded in one row; a group of more candidate pairs than this is refused, not truncated.
-MOST_PAIRS = 1_000_000
-
 
 def hysteresis(df: DataFrame, by: list[str], order: list[str], score: str, high: float, low: float) -> DataFrame:
     """Rows of runs of score >= low that reach high somewhere (W07). Runs are of adjacent rows; put a segment in ``by`` to stop them at gaps."""
@@ -69,27 +66,40 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def greedy(pairs: DataFrame, by: list[str], rank: list[Column], truth: str, pred: str) -> DataFrame:
-    """One-to-one matching in ascending rank, as array ``matches`` of (truth, pred) per group.
+    """One-to-one matching in ascending rank: a row (by, t, p) per match.
 
-    The fold is sequential by nature; it runs in one row per group, over the group's candidate pairs only.
+    The fold is sequential by nature. A group's candidate pairs stream in order through their partition; only the
+    numbers already matched are held.
     """
-    r = [c.alias(f"r{i}") for i, c in enumerate(rank)]
-    listed = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*r, F.col(truth).cast("long").alias("t"), F.col(pred).cast("long").alias("p")))).alias("c"))
-    size = F.size("c")
-    listed = listed.withColumn("c", F.when(size <= MOST_PAIRS, F.col("c")).otherwise(F.raise_error(F.lit("too many candidate pairs in one matching group"))))
-    none = F.array().cast("array<struct<t:bigint,p:bigint>>")
+    ranks = [f"_r{i}" for i in range(len(rank))]
+    rows = pairs.select(*by, *[c.alias(r) for c, r in zip(rank, ranks, strict=True)], F.col(truth).cast("long").alias("t"), F.col(pred).cast("long").alias("p"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, *ranks, "t", "p").select(*by, "t", "p")
 
-    def take(acc: Column, x: Column) -> Column:
-        taken = F.exists(acc, lambda m: (m["t"] == x["t"]) | (m["p"] == x["p"]))
-        return F.when(taken, acc).otherwise(F.array_append(acc, F.struct(x["t"].alias("t"), x["p"].alias("p"))))
+    def fold(frames):
+        now, truths, preds = None, set(), set()
+        for pdf in frames:
+            keys, taken = zip(*(pdf[c] for c in by), strict=True), []
+            for i, (key, t, p) in enumerate(zip(keys, pdf["t"].tolist(), pdf["p"].tolist(), strict=True)):
+                if key != now:
+                    now, truths, preds = key, set(), set()
+                if t not in truths and p not in preds:
+                    truths.add(t)
+                    preds.add(p)
+                    taken.append(i)
+            yield pdf.iloc[taken]
 
-    return listed.select(*by, F.aggregate("c", none, take).alias("matches"))
+    return rows.mapInPandas(fold, rows.schema)
 
 
-def match_with_tolerance(truth: DataFrame, pred: DataFrame, by: list[str], tolerance: int, width: int) -> DataFrame:
+def listed(matched: DataFrame, by: list[str]) -> DataFrame:
+    """Matches as array ``matches`` of (t, p) per group: for groups that fit a row."""
+    return matched.groupBy(*by).agg(F.collect_list(F.struct("t", "p")).alias("matches"))
+
+
+def tolerance_matches(truth: DataFrame, pred: DataFrame, by: list[str], tolerance: int, width: int) -> DataFrame:
     """Greedy by overlap of the widened truth, then truth and prediction numbers, all descending.
 
-    ``truth`` has (by, ti, ts, te), ``pred`` (by, pi, ps, pe).
+    ``truth`` has (by, ti, ts, te), ``pred`` (by, pi, ps, pe). A row (by, t, p) per match.
     """
     wide = truth.withColumn("_s", F.col("ts") - tolerance).withColumn("_e", F.col("te") + tolerance)
     pairs = overlap_pairs(wide, pred, by, width, ("_s", "_e"), ("ps", "pe"))
@@ -97,12 +107,20 @@ def match_with_tolerance(truth: DataFrame, pred: DataFrame, by: list[str], toler
     return greedy(pairs, by, [-overlap, -F.col("ti"), -F.col("pi")], "ti", "pi")
 
 
-def match_by_iou(truth: DataFrame, pred: DataFrame, by: list[str], least: float, width: int) -> DataFrame:
-    """Greedy by IoU descending, then truth and prediction numbers ascending."""
+def iou_matches(truth: DataFrame, pred: DataFrame, by: list[str], least: float, width: int) -> DataFrame:
+    """Greedy by IoU descending, then truth and prediction numbers ascending (J10). A row (by, t, p) per match."""
     pairs = overlap_pairs(truth, pred, by, width, ("ts", "te"), ("ps", "pe")).withColumn("iou", iou(F.col("ts"), F.col("te"), F.col("ps"), F.col("pe")))
     return greedy(pairs.filter(F.col("iou") >= least), by, [-F.col("iou"), F.col("ti"), F.col("pi")], "ti", "pi")
 
 
+def match_with_tolerance(truth: DataFrame, pred: DataFrame, by: list[str], tolerance: int, width: int) -> DataFrame:
+    return listed(tolerance_matches(truth, pred, by, tolerance, width), by)
+
+
+def match_by_iou(truth: DataFrame, pred: DataFrame, by: list[str], least: float, width: int) -> DataFrame:
+    return listed(iou_matches(truth, pred, by, least, width), by)
+
+
 def snap(intervals: DataFrame, points: DataFrame, by: list[str], key: list[str], time: str, score: str, reach: int, least_score: float, least_length: int, width: int) -> DataFrame:
     """Move each end to the highest boundary score within reach (first on ties); undo if the result is too short."""
 

@@ -154,14 +154,14 @@ m AS (SELECT entity, list_reduce(x, lambda a, y: CASE WHEN len(list_filter(a, la
 
 @query("tolerance_match", matching_sql("least(te + 25, pe) - greatest(ts - 25, ps) > 0", "least(te + 25, pe) - greatest(ts - 25, ps) DESC, ti DESC, pi DESC") + " SELECT entity, unnest(matches).t AS truth, unnest(matches).p AS pred FROM m")
 def tolerance_match(spark, sf):
-    m = iv.match_with_tolerance(*truth_and_prediction(spark, sf), ["entity"], 25, DAYS)
-    return m.select("entity", F.explode("matches").alias("m")).select("entity", F.col("m.t").alias("truth"), F.col("m.p").alias("pred"))
+    m = iv.tolerance_matches(*truth_and_prediction(spark, sf), ["entity"], 25, DAYS)
+    return m.select("entity", F.col("t").alias("truth"), F.col("p").alias("pred"))
 
 
 @query("tiou_match", matching_sql("ts < pe AND te > ps", "iou DESC, ti, pi", cut="WHERE iou >= 0.25") + " SELECT entity, unnest(matches).t AS truth, unnest(matches).p AS pred FROM m")
 def tiou_match(spark, sf):
-    m = iv.match_by_iou(*truth_and_prediction(spark, sf), ["entity"], 0.25, DAYS)
-    return m.select("entity", F.explode("matches").alias("m")).select("entity", F.col("m.t").alias("truth"), F.col("m.p").alias("pred"))
+    m = iv.iou_matches(*truth_and_prediction(spark, sf), ["entity"], 0.25, DAYS)
+    return m.select("entity", F.col("t").alias("truth"), F.col("p").alias("pred"))
 
 
 @query("score_peaks", f"""

@@ -132,7 +132,7 @@ def edit_score(spark, sf):
 
 def _matched(spark, sf, least):
     truth, pred = truth_and_prediction(spark, sf)
-    return truth, pred, iv.match_by_iou(truth, pred, ["entity"], least, DAYS)
+    return truth, pred, iv.iou_matches(truth, pred, ["entity"], least, DAYS)
 
 
 PAIRED = matching_sql("ts < pe AND te > ps", "iou DESC, ti, pi", cut="WHERE iou >= 0.1") + ", u AS (SELECT entity, unnest(matches).t AS ti, unnest(matches).p AS pi FROM m)"
@@ -141,7 +141,7 @@ PAIRED = matching_sql("ts < pe AND te > ps", "iou DESC, ti, pi", cut="WHERE iou
 @query("onset_error", PAIRED + " SELECT count(*) AS matched, quantile_cont(abs(ps - ts), 0.5) AS median, round(quantile_cont(abs(ps - ts), 0.9), 6) AS p90 FROM u JOIN tr USING (entity, ti) JOIN pr USING (entity, pi)")
 def onset_error(spark, sf):
     truth, pred, m = _matched(spark, sf, 0.1)
-    pairs = m.select("entity", F.explode("matches").alias("m")).select("entity", F.col("m.t").alias("ti"), F.col("m.p").alias("pi")).join(truth, ["entity", "ti"]).join(pred, ["entity", "pi"])
+    pairs = m.select("entity", F.col("t").alias("ti"), F.col("p").alias("pi")).join(truth, ["entity", "ti"]).join(pred, ["entity", "pi"])
     return metrics.localisation(pairs, [], F.col("ps") - F.col("ts")).withColumn("p90", F.round("p90", 6))
 
 
@@ -156,7 +156,7 @@ def tiou_match_f1(spark, sf):
     counts = truth.agg(F.count(F.lit(1)).alias("truth")).join(F.broadcast(pred.agg(F.count(F.lit(1)).alias("pred"))), F.lit(True))
 
     def at(least):
-        m = iv.match_by_iou(truth, pred, ["entity"], least, DAYS).agg(F.coalesce(F.sum(F.size("matches")), F.lit(0)).cast("long").alias("tp"))
+        m = iv.iou_matches(truth, pred, ["entity"], least, DAYS).agg(F.count(F.lit(1)).alias("tp"))
         return m.join(F.broadcast(counts), F.lit(True)).select(F.lit(least).alias("tiou"), "tp", "truth", "pred", F.round(metrics.f1_of(F.col("tp"), F.col("truth"), F.col("pred")), 9).alias("f1"))
 
     return at(0.1).union(at(0.25)).union(at(0.5))
@@ -169,7 +169,7 @@ UNION ALL SELECT NULL, sum(truth)::BIGINT, sum(pred)::BIGINT, sum(hits)::BIGINT,
 def event_level_metrics(spark, sf):
     """Per animal, then pooled with its evidence gate."""
     truth, pred = truth_and_prediction(spark, sf)
-    hits = iv.match_with_tolerance(truth, pred, ["entity"], 25, DAYS).select("entity", F.size("matches").alias("hits"))
+    hits = iv.tolerance_matches(truth, pred, ["entity"], 25, DAYS).groupBy("entity").agg(F.count(F.lit(1)).alias("hits"))
     t, p = truth.groupBy("entity").agg(F.count(F.lit(1)).alias("truth")), pred.groupBy("entity").agg(F.count(F.lit(1)).alias("pred"))
     e = t.join(p, "entity", "full").join(hits, "entity", "left").select("entity", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("truth", "pred", "hits")])
     rates = lambda d: d.withColumn("recall", F.round(metrics.ratio(F.col("hits"), F.col("truth")), 9)).withColumn("precision", F.round(metrics.ratio(F.col("hits"), F.col("pred")), 9))

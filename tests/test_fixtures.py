@@ -126,6 +126,14 @@ def test_matching_against_brute_force(spark):
         assert tol.get(g, []) == brute_match(a, b, tol=25) and by_iou.get(g, []) == brute_match(a, b, least=0.1)
 
 
+def test_matching_of_over_a_million_pairs(spark):
+    n = 1001
+    t = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("ti"), F.lit(0).alias("ts"), F.lit(50).alias("te"))
+    p = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("pi"), F.lit(10).alias("ps"), F.lit(60).alias("pe"))
+    (got,) = intervals.match_by_iou(t, p, ["g"], 0.1, 64).collect()
+    assert sorted((m.t, m.p) for m in got.matches) == [(i, i) for i in range(n)]
+
+
 def test_iou_golden(spark):
     f1 = lambda p, th: intervals.match_by_iou(spark.createDataFrame([(1, 0, 0, 10000)], "g int, ti long, ts long, te long"), spark.createDataFrame([(1, 0, *p)], "g int, pi long, ps long, pe long"), ["g"], th, 5000).count()
     assert f1((500, 9500), 0.5) == 1 and f1((0, 30000), 0.5) == 0 and f1((0, 30000), 0.25) == 1
