@@ -45,8 +45,11 @@ class State:
 
 
 def smooth(df: DataFrame, by: list[str], time: str, machine: Machine = Machine()) -> DataFrame:
-    """``df`` (by, time, upright, lying, up, down) with state_raw and state_sm; runs end at gaps."""
-    runs = with_segments(df, by, time, machine.gap, name="_run").withColumn("state_raw", (F.col("lying") > F.col("upright")).cast("int"))
+    """``df`` (by, time, upright, lying, up, down) with state_raw and state_sm; runs end at gaps.
+
+    A point of its predecessor's time starts a run; points of one time are ordered by their values.
+    """
+    runs = with_segments(df, by, time, machine.gap, [time, "upright", "lying", "up", "down"], "_run").withColumn("state_raw", (F.col("lying") > F.col("upright")).cast("int"))
 
     schema = T.StructType([*runs.schema.fields, T.StructField("state_sm", T.IntegerType())])
 

@@ -21,17 +21,31 @@ def gbdt_score(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("prob_HIT", 6).alias("prob_HIT"), (F.col("prob_HIT") >= F.col("threshold_HIT")).alias("hit"))
 
 
-def replay(spark, df, name: str, plan, key: list[str]):
-    """Run a streaming plan over a table until it is used up; returns what it gave out, as a table in the warehouse."""
+#: Rows that a replay gives to one micro-batch, all of which may be of one entity.
+SLICE = 200_000
+
+
+def replay(spark, df, name: str, plan, key: list[str], time: str):
+    """Run a streaming plan over a table until it is used up; returns what it gave out, as a table in the warehouse.
+
+    The table comes in slices of time, each a micro-batch of its own on the state that the last one left.
+    """
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinetrace-stream-")
     base = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.repartition(4, *key).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
-    q = plan(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    df.withColumn("_at", F.unix_micros(time) if dict(df.dtypes)[time] == "timestamp" else F.col(time)).write.parquet(f"{base}/all")
+    rows = spark.read.parquet(f"{base}/all")
+    n = -(-rows.count() // SLICE)
+    cuts = sorted({int(x) for x in rows.approxQuantile("_at", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.filter(F.col("_at") >= low)
+        part = part if high is None else part.filter((F.col("_at") < high) | F.col("_at").isNull())
+        part.drop("_at").repartition(4, *key).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        q = plan(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
@@ -39,7 +53,7 @@ def replay(spark, df, name: str, plan, key: list[str]):
 def stream_sessions(spark, sf):
     """Session windows that the watermark has closed."""
     p = points(spark, sf).select("entity", F.timestamp_millis("t").alias("ts"))
-    d = replay(spark, p, "sessions", lambda s: causal.sessions(s, ["entity"], "ts", "12 hours", "1 hour"), ["entity"])
+    d = replay(spark, p, "sessions", lambda s: causal.sessions(s, ["entity"], "ts", "12 hours", "1 hour"), ["entity"], "ts")
     return d.select("entity", F.unix_millis("start_t").alias("start_ms"), F.unix_millis("stop_t").alias("stop_ms"), "points")
 
 
@@ -47,11 +61,11 @@ def stream_sessions(spark, sf):
 def stream_positive_runs(spark, sf):
     """Intervals that a later point has closed, state kept per animal."""
     p = points(spark, sf).select("entity", "t", "score")
-    return replay(spark, p, "runs", lambda s: causal.positive_runs(s, "entity", "t", "score", 0.5, 12 * HOUR, HOUR), ["entity"])
+    return replay(spark, p, "runs", lambda s: causal.positive_runs(s, "entity", "t", "score", 0.5, 12 * HOUR, HOUR), ["entity"], "t")
 
 
 @query("stream_state_machine")
 def stream_state_machine(spark, sf):
     """The posture state machine as a stateful stream; equals the batch form."""
     d = postures(spark, sf).drop("target")
-    return replay(spark, d, "posture", lambda s: causal.state_machine(s, "entity", "t", Machine(2, 2, 0.1, 0.5, 24 * HOUR)), ["entity"])
+    return replay(spark, d, "posture", lambda s: causal.state_machine(s, "entity", "t", Machine(2, 2, 0.1, 0.5, 24 * HOUR)), ["entity"], "t")

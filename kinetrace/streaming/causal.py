@@ -31,7 +31,8 @@ def state_machine(stream: DataFrame, entity: str, time: str, machine: Machine =
     """Confirmed posture per point, the run's state kept between micro-batches (streaming form of W24).
 
     Rows of a micro-batch are put in order; rows older than the last one seen are dropped, as a step back in time
-    would start a run in the batch form. ``stream`` has entity (long), time (long ms), upright, lying, up, down.
+    would start a run in the batch form. A row of the same time starts a run, as there; rows of one time are ordered
+    by their values. ``stream`` has entity (long), time (long ms), upright, lying, up, down.
     """
     out = f"{entity} long, {time} long, state_sm int"
 
@@ -39,12 +40,13 @@ def state_machine(stream: DataFrame, entity: str, time: str, machine: Machine =
         import pandas as pd
 
         last, state, asking, dwell = held.get if held.exists else (None, -1, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        values = ["upright", "lying", "up", "down"]
+        rows = pd.concat(list(frames)).sort_values([time, *values], kind="stable")
         s, done = State(state, asking, dwell), []
-        for t, upright, lying, up, down in rows[[time, "upright", "lying", "up", "down"]].itertuples(index=False):
-            if last is not None and t <= last:
+        for t, upright, lying, up, down in rows[[time, *values]].itertuples(index=False):
+            if last is not None and t < last:
                 continue
-            if last is not None and t - last > machine.gap:
+            if last is not None and (t == last or t - last > machine.gap):
                 s = State()
             done.append((key[0], t, s.step(machine, upright, lying, up, down)))
             last = t
@@ -68,7 +70,7 @@ def positive_runs(stream: DataFrame, entity: str, time: str, score: str, thresho
         start, last, seen = held.get if held.exists else (None, None, None)
         rows, done = pd.concat(list(frames)).sort_values(time, kind="stable"), []
         for t, v in rows[[time, score]].itertuples(index=False):
-            if seen is not None and t <= seen:
+            if seen is not None and t < seen:
                 continue
             seen = t
             if start is not None and t - last > gap:

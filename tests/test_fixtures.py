@@ -402,6 +402,23 @@ def test_stream_equals_batch(spark):
     assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and a.count() > 0
 
 
+@pytest.mark.parametrize("slice_rows", [50, 10_000])
+def test_stream_keeps_tied_times(spark, monkeypatch, slice_rows):
+    from kinetrace.plans import learning
+    from kinetrace.streaming import causal
+
+    monkeypatch.setattr(learning, "SLICE", slice_rows)
+    r, machine = np.random.default_rng(3), posture.Machine(2, 2, 0.1, 0.5, 5)
+    rows = [(int(g), int(t), *map(float, r.random(4))) for g, t in zip(r.integers(0, 2, 300), r.integers(0, 150, 300), strict=True)]
+    d = spark.createDataFrame(rows, "g long, t long, upright double, lying double, up double, down double")
+    a = learning.replay(spark, d, "posture", lambda s: causal.state_machine(s, "g", "t", machine), ["g"], "t")
+    b = posture.smooth(d, ["g"], "t", machine).select("g", "t", "state_sm")
+    assert a.count() == len(rows) and a.exceptAll(b).count() == 0
+    p = spark.createDataFrame([(1, 10, 0.1), (1, 10, 0.9), (1, 12, 0.9), (1, 12, 0.2), (1, 60, 0.1)], "g long, t long, v double")
+    got = learning.replay(spark, p, "runs", lambda s: causal.positive_runs(s, "g", "t", "v", 0.5, 5, 1), ["g"], "t").collect()
+    assert [tuple(x) for x in got] == [(1, 10, 13)]
+
+
 def test_boosted_task(spark, tmp_path):
     from kinetrace.models import boosting
 
