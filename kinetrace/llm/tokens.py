@@ -1,51 +1,54 @@
-"""Token ids of whole texts by the tokenizers library, with the ids of space-separated chunks kept per worker.
+"""Token ids of whole texts by the tokenizers library, with the ids of frequent pieces kept per worker.
 
-A byte-level tokenizer cuts a text by a pattern before merging. That pattern always cuts in front of a single space
-between two non-space characters, whatever stands around, so such chunks are encoded on their own and looked up when
-they come again. Texts that hold a special token's string are encoded as a whole.
+A byte-level tokenizer cuts a text into pieces by a pattern and merges each piece on its own, so a piece that comes
+again is looked up. The pattern runs here over texts whose characters are settled in every version of the Unicode
+tables; other texts are cut in front of single spaces between two non-space characters, where the pattern always cuts,
+and what holds other characters goes to the library. Texts that hold a special token's string are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
-#: Chunks kept per worker in each of two generations; chunks still in use move to the younger one.
-KEEP = 700_000
-#: Longer chunks are encoded each time.
+#: Pieces kept per worker in each of two generations: about 25 MB each. Pieces still in use move to the younger one.
+KEEP = 200_000
+#: Longer pieces are encoded each time.
 LONGEST = 64
-#: ASCII punctuation but the apostrophe, which the cutting pattern treats apart.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Letters below this code point are letters in every version of the Unicode tables.
-SETTLED = "\u0530"
+#: A piece is kept when it comes a second time; first times are marked in so many slots.
+MARKS = 1 << 20
+#: Classes of the characters below this code point are the same in every version of the Unicode tables.
+SETTLED = 0x530
+
+
+def _class(kind: str) -> str:
+    """Body of a character class: the settled characters of a general category."""
+    return "".join(re.escape(chr(i)) for i in range(SETTLED) if unicodedata.category(chr(i))[0] == kind)
 
 
 class _Store(dict):
-    """Ids of chunks, as bytes, each with a prefix in front."""
+    """Ids of pieces as bytes, of those that came twice, in bounded memory."""
 
-    def __init__(self, encode, prefix: str, tails: _Store | None = None):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.prefix, self.tails, self.old = encode, prefix, tails, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if self.tails is not None:  # a word with punctuation behind it is two pieces: only the word is kept
-            word = chunk.rstrip(TAIL)
-            if len(word) < len(chunk) and _is_word(word):
-                return self[word] + self.tails[chunk[len(word) :]]
-        ids = self.old.get(chunk)
+        self.encode, self.old, self.seen = encode, {}, bytearray(MARKS)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self.encode(self.prefix + chunk)
-        if len(chunk) <= LONGEST:
+            ids = self.encode(piece)
+            slot = hash(piece) % MARKS
+            if not self.seen[slot]:
+                self.seen[slot] = 1
+                return ids
+        if len(piece) <= LONGEST:
             if len(self) >= KEEP:
-                self.old = dict(self)
+                self.old, self.seen = dict(self), bytearray(MARKS)
                 self.clear()
-            self[chunk] = ids
+            self[piece] = ids
         return ids
 
 
-def _is_word(text: str) -> bool:
-    return text.isalpha() and (text.isascii() or max(text) < SETTLED)
-
-
 class Encoder:
     """``encoder(text)``: the text's ids as little-endian unsigned 32-bit integers."""
 
@@ -59,13 +62,13 @@ class Encoder:
         self.special = [x["content"] for x in layout["added_tokens"]]
         self.tokenizer, self.model = tokenizer, tokenizer.model
         plain = layout["normalizer"] is None and layout["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.letters = _alphabet() if plain and layout["model"]["type"] == "BPE" else None
-        self.space, self.raw = _alphabet()[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-        tails = _Store(self.merge, "") if self.letters else None
-        self.first, self.rest = _Store(self.chunk, "", tails), _Store(self.chunk, " ", tails)
+        self.letters = _alphabet()
+        self.space, self.raw = self.letters[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         self.split = re.compile(r"(?<=\S) (?=\S)").split
-        self.cut = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +").findall  # the byte-level pattern on printable ASCII
-        self.odd = re.compile(r"[^\S \n]").search
+        self.foreign = re.compile(f"[^\0-{chr(SETTLED - 1)}]").search if plain and layout["model"]["type"] == "BPE" else lambda text: True
+        letter, number, space = _class("L"), _class("N"), "\t-\r \x85\xa0"
+        self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall  # the byte-level pattern
+        self.piece, self.chunk = _Store(self.merge).__getitem__, _Store(self.whole).__getitem__
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -74,28 +77,23 @@ class Encoder:
 
     def merge(self, piece: str) -> bytes:
         """Merges alone, for what the cutting pattern leaves in one piece."""
-        mapped = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        mapped = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
         raw = self.raw
         return b"".join([raw[t.id] for t in self.model.tokenize(mapped)])
 
-    def chunk(self, chunk: str) -> bytes:
-        """A chunk with its leading space, other than a word with punctuation: a word is one piece, other ASCII is cut here, the rest by the library."""
-        if self.letters is not None:
-            if _is_word(chunk[1:] if chunk[:1] == " " else chunk):
-                return self.merge(chunk)
-            if chunk.isascii() and chunk.isprintable():
-                return b"".join(map(self.merge, self.cut(chunk)))
-        return self.whole(chunk)
-
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        # white space beside a space, or other than a space or line feed: cut between non-space characters only
-        runs = "  " in text or "\n " in text or " \n" in text or text[0].isspace() or text[-1].isspace() or self.odd(text)
-        chunks = self.split(text) if runs else text.split(" ")
-        return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
+        if not self.foreign(text):
+            return b"".join(map(self.piece, self.cut(text)))
+        first, *rest = self.split(text)
+        out = []
+        for chunk in (first, *(" " + c for c in rest)):
+            if self.foreign(chunk):
+                out.append(self.chunk(chunk))
+            else:
+                out += map(self.piece, self.cut(chunk))
+        return b"".join(out)
 
 
 def _alphabet() -> dict[int, str]:
