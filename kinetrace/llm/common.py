@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of every word contract: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: More rows than this are never broadcast; the plain shuffle join takes over.
-BROADCAST_ROWS = 10_000
+#: More rows, or more bytes of strings, than this are never broadcast; the plain shuffle join takes over.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,9 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # only where nothing names one: local tests
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="kinetrace-")
         spark.conf.set("spark.checkpoint.dir", top)
     sc = spark.sparkContext
@@ -47,8 +49,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast only after counting: a larger side stays a shuffle join, which AQE splits on skew."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Mark for broadcast only after counting rows and the bytes of strings: a larger side stays a shuffle join, which AQE splits on skew."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    weight = sum(texts, F.lit(0)).cast("long").alias("weight")
+    n, size = df.select(weight).limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
 def file_system(uri: str):

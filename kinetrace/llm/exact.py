@@ -1,26 +1,69 @@
 """Exact duplicates by content sort.
 
-Sampled splitters deal the normalised bytes over range partitions, an external sort places equal texts side by
-side, and the window over equal neighbours compares whole texts. No text is reduced to a hash to decide equality.
+Splitters sampled from the texts deal the normalised bytes over range partitions, an external sort places equal texts
+side by side, and the window over equal neighbours compares whole texts. A splitter is as long as it takes to tell
+two neighbours of the sample apart, so texts that share a long prefix are still split by what comes after it. No text
+is reduced to a hash.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of
+from .common import cut, partitions, small, text_of
 
-#: A text that makes up more than one row in HOT_SHARE is dealt over SALTS pieces; there are fewer than HOT_SHARE such texts.
-HOT_SHARE, HOT_LEAST, SALTS = 1000, 256, 64
-#: Characters of a text that splitters see.
-HEAD = 24
+#: Sampled rows per partition.
+SAMPLES = 20
 
 
 def unchanged(text: Column) -> Column:
     return text
 
 
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Characters that two texts have in common at their start, by halving."""
+    mid = lambda s: F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    step = lambda s, _: F.when(F.left(a, mid(s)) == F.left(b, mid(s)), state(mid(s), s["hi"])).otherwise(state(s["lo"], F.greatest(mid(s) - 1, s["lo"])))
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(31)), state(F.lit(0), F.least(F.length(a), F.length(b))), step, lambda s: s["lo"]), F.lit(0))
+
+
+def splitters(texts: DataFrame, n: int) -> list[tuple[str, int]]:
+    """About n ascending (lower bound, pieces) of ranges of column ``t``: the quantiles of a sample of n * SAMPLES rows.
+
+    A text that takes several quantiles is hot: its range gets as many pieces. The driver gets at most 2n bounds.
+    """
+    total = texts.count()
+    s = texts.sample(min(1.0, n * SAMPLES / max(total, 1)), seed=5).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.orderBy("t")  # over the sample only
+    s = s.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    s = s.withColumn("before", F.lag("t").over(order)).withColumn("after", F.lead("t").over(order))
+    quantile = lambda at: F.least(F.floor(at * n / F.col("all")), F.lit(n - 1))
+    s = s.withColumn("pieces", (quantile(F.col("upto")) - quantile(F.col("upto") - F.col("c"))).cast("int")).filter("pieces > 0")
+    low = F.struct(F.left("t", shared_prefix(F.col("before"), F.col("t")) + 1).alias("low"), "pieces")
+    end = F.struct(F.left("after", shared_prefix(F.col("t"), F.col("after")) + 1).alias("low"), F.lit(1).alias("pieces"))
+    found = s.select(F.explode(F.when(F.col("pieces") > 1, F.array(low, end)).otherwise(F.array(low))).alias("b")).select("b.*")
+    return [tuple(r) for r in found.filter("low IS NOT NULL").groupBy("low").agg(F.max("pieces")).sort("low").collect()]
+
+
+def deal(text: Column, salt: Column, bounds: list[tuple[str, int]]) -> tuple[int, Column, Column]:
+    """Number of partitions, the partition of a text by binary search of its range, and whether that range is hot."""
+    pieces = [1, *(p for _, p in bounds)]
+    first = list(accumulate(pieces, initial=0))
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")  # noqa: E731  (folded to a constant)
+    lows = fixed([b for b, _ in bounds], "string")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(lows, mid(s)) <= text, state(mid(s) + 1, s["hi"])).otherwise(state(s["lo"], mid(s)))
+    place = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), state(F.lit(0), F.lit(len(bounds))), step, lambda s: s["lo"])
+    dealt = F.get(F.transform(F.array(place), lambda i: F.struct((F.get(fixed(first, "int"), i) + F.pmod(salt, F.get(fixed(pieces, "int"), i)).cast("int")).alias("part"), (F.get(fixed(pieces, "int"), i) > 1).alias("hot"))), F.lit(0))
+    return first[-1], dealt["part"], dealt["hot"]
+
+
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", normalise=unchanged, carry: bool = False) -> DataFrame:
     """One row per input row: key, keep_id, group_size, kept, text_sha256 (and the input row as struct ``row`` on request).
 
@@ -28,35 +71,35 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     the empty text. A null key never stays while its group has another key; repeated rows count one by one and
     exactly one of them stays. An empty table gives an empty result. Other columns are ignored, whatever their names.
 
-    Hot texts are sorted as (salt, text) pieces, so that no task gets a whole group; each piece then gives one row and
-    the pieces of a text are compared in full again to find the survivor.
+    A text of more rows than a partition's share is sorted in pieces, dealt by key and task; each piece then gives one
+    row, and the pieces of a text are compared in full again to find the survivor.
     """
     cols = [df[key].alias("id"), normalise(text_of(df, text)).alias("t")] + ([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else [])
-    rows = df.select(*cols).withColumn("h", F.xxhash64("t"))
-    total = df.select(F.count(F.lit(1))).first()[0]
-    hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > HOT_LEAST) & (F.col("n") * HOT_SHARE > total)).select("h", F.lit(True).alias("hot"))
-    rows = rows.join(F.broadcast(hot), "h", "left")  # under HOT_SHARE rows of 9 bytes
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("hot")
-    # the sort order is (head, hash, whole text): the splitters' sample, which goes to the driver, holds short keys only,
-    # and texts that share a head still spread; equal texts agree in all three
-    rows = rows.withColumn("head", F.substring("t", 1, HEAD)).repartitionByRange(partitions(df.sparkSession), "head", "h", "salt")
-    equal = Window.partitionBy("head", "h", "salt", "t")
-    first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
-    best = F.min if keep == "min" else F.max
-    rows = rows.withColumn("place", F.row_number().over(equal.orderBy(first))).withColumn("piece_id", best("id").over(equal)).withColumn("piece_n", F.count(F.lit(1)).over(equal))
-    rows = rows.withColumn("text_sha256", F.sha2(F.encode("t", "UTF-8"), 256))
-    pieces = rows.filter((F.col("place") == 1) & (F.col("salt") > 0)).groupBy("t").agg(best("piece_id").alias("all_id"), F.sum("piece_n").alias("all_n"))
-    pieces = pieces.select(F.coalesce(F.sha2(F.encode("t", "UTF-8"), 256), F.lit("")).alias("text_sha256"), "all_id", "all_n")  # coalesce: else a not-null test of the digest runs on every scanned row
-    rows = rows.drop("t").join(F.broadcast(pieces), "text_sha256", "left")  # one row per hot text: under HOT_SHARE
-    keep_id = F.when(F.col("all_n").isNull(), F.col("piece_id")).otherwise(F.col("all_id"))
-    return rows.select(
-        F.col("id").alias(key),
-        keep_id.alias("keep_id"),
-        F.coalesce("all_n", "piece_n").alias("group_size"),
-        ((F.col("place") == 1) & F.col("id").eqNullSafe(keep_id)).alias("kept"),
-        "text_sha256",
-        *(["row"] if carry else []),
-    )
+    rows = df.select(*cols)
+    bounds = splitters(rows.select("t"), partitions(df.sparkSession))
+    n, part, hot = deal(F.col("t"), F.xxhash64("id", F.spark_partition_id()), bounds)
+    rows = rows.withColumn("part", part).withColumn("hot", hot)
+    equal = Window.partitionBy("part", "t")
+    first, best = (F.col("id").asc_nulls_last(), F.min) if keep == "min" else (F.col("id").desc_nulls_last(), F.max)
+
+    def sort(r: DataFrame) -> DataFrame:
+        r = r.repartitionById(n, F.col("part"))
+        return r.withColumn("place", F.row_number().over(equal.orderBy(first))).withColumn("piece_id", best("id").over(equal)).withColumn("piece_n", F.count(F.lit(1)).over(equal))
+
+    def shown(r: DataFrame, keep_id: str, size: str, home: Column) -> DataFrame:
+        kept = (F.col("place") == 1) & F.col("id").eqNullSafe(F.col(keep_id)) & home
+        return r.select(F.col("id").alias(key), F.col(keep_id).alias("keep_id"), F.col(size).alias("group_size"), kept.alias("kept"), F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"), *(["row"] if carry else []))
+
+    if all(p == 1 for _, p in bounds):
+        return shown(sort(rows.drop("hot")), "piece_id", "piece_n", F.lit(True))
+    # rows of hot ranges are written with their piece, so that it stays; their texts are summed up before any shuffle
+    few = cut(rows.filter("hot").drop("hot"), "exact-hot")
+    none = (F.col("id").isNull() if keep == "min" else F.col("id").isNotNull()).alias("none")
+    pick = best(F.struct(none, "id", "part")).alias("pick")  # the survivor is at home in one piece
+    totals = few.groupBy("t").agg(pick, F.count(F.lit(1)).alias("all_n"))
+    totals = cut(totals.select(F.col("t").alias("hot_t"), F.col("pick.id").alias("all_id"), "all_n", F.col("pick.part").alias("home")), "exact-totals")
+    hot_rows = sort(few).join(small(totals), F.col("t") == F.col("hot_t"))
+    return shown(sort(rows.filter("NOT hot").drop("hot")), "piece_id", "piece_n", F.lit(True)).unionByName(shown(hot_rows, "all_id", "all_n", F.col("home") == F.col("part")))
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", normalise=unchanged) -> DataFrame:

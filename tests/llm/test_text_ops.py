@@ -43,6 +43,33 @@ def test_exact_hot_text_is_salted(spark):
     assert tuple(got) == (1000, 2997, 1, 1000)
 
 
+def test_exact_splits_behind_long_shared_prefixes(spark):
+    head = "the same licence stands ahead of every text " * 500
+    rows = [(i, head + f"{i // 2:05d}", "s") for i in range(2000)]
+    d = docs(spark, rows)
+    bounds = exact.splitters(d.select(F.col("text").alias("t")), 8)
+    n, part, hot = exact.deal(F.col("text"), F.lit(0), bounds)
+    assert n > 4 and all(len(b) > len(head) for b, _ in bounds)
+    assert max(r["count"] for r in d.groupBy(part.alias("p")).count().collect()) < 800
+    got = exact.exact_groups(d).agg(F.sum(F.col("kept").cast("int")), F.min("group_size"), F.max("group_size")).first()
+    assert tuple(got) == (1000, 2, 2)
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_hot_rows_that_are_equal(spark, keep, monkeypatch):
+    """A third of all rows are one text: without keys, under one key, and under keys of their own."""
+    monkeypatch.setattr(exact, "partitions", lambda spark: 16)
+    for own in (lambda i: None, lambda i: 5, lambda i: i):
+        rows = [(own(i), "hot", "s") if i % 3 == 0 else (i, f"text {i}", "s") for i in range(1500)]
+        d = docs(spark, rows)
+        assert any(p > 1 for _, p in exact.splitters(d.select(F.col("text").alias("t")), 16))
+        got = exact.exact_groups(d, keep=keep).filter("group_size > 1").collect()
+        ids = [own(i) for i in range(0, 1500, 3) if own(i) is not None]
+        assert {(r.keep_id, r.group_size) for r in got} == {((min if keep == "min" else max)(ids, default=None), 500)}
+        assert sum(r.kept for r in got) == 1 and len(got) == 500
+        assert exact.drop_copies(d, keep=keep).count() == 1001
+
+
 def test_drop_copies_keeps_columns(spark):
     d = docs(spark, ROWS)
     assert exact.drop_copies(d).columns == d.columns
