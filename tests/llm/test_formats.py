@@ -82,6 +82,32 @@ def test_assign_balances_cost_and_fills():
     assert packing.assign([], 8) == [] == packing.assign([0, 0], 8)
 
 
+def test_assign_takes_the_cheapest_sequence_with_room():
+    """Against a plain loop: descending items, each to the sequence of the lowest cost that has room for it whole."""
+    r = random.Random(3)
+    for _ in range(40):
+        lengths = [r.randint(0, 63) for _ in range(r.randint(1, 60))]
+        n = -(-sum(lengths) // 64)
+        room, cost, want, late = [64] * n, [0.0] * n, [[] for _ in range(n)], set()
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            fit = [s for s in range(n) if lengths[i] and room[s] >= lengths[i]]
+            if not fit:
+                late.add(i)
+                continue
+            s = min(fit, key=lambda s: (cost[s], s))
+            want[s].append(i)
+            room[s] -= lengths[i]
+            cost[s] += packing.LINEAR * lengths[i] + packing.QUADRATIC * lengths[i] ** 2
+        assert [[i for i, start, k in s if i not in late] for s in packing.assign(lengths, 64)] == want
+
+
+def test_packing_deals_equal_rows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 20)
+    got = packing.pack(docs(spark, [(None, None)] * 400)).collect()
+    assert len(got) == 400 and all((r.doc_id, r.start, r.length, r.doc_tokens) == (None, 0, 1, 1) for r in got)
+    assert len({r.sequence_id >> 40 for r in got}) > 5
+
+
 def test_id_store_round_trip(spark, plain):
     got = idstore.round_trip(docs(spark, ROWS), shards=3).collect()
     order, at, want = sorted(ROWS, key=lambda r: (r[0], np.frombuffer(plain(r[1]), "<u4").astype("<u2").tobytes())), 0, []
@@ -99,11 +125,33 @@ def test_id_store_strangers_and_nulls(spark):
     assert got[None].start == 0 and got[4].start == got[None].n_tokens and got[5].n_tokens is None
 
 
+def test_id_store_repeats_keys_no_further_than_stored(spark):
+    """A key asked for more often than it is stored gives nulls, never a neighbour's ids; a third of the rows may share a key."""
+    rows = [(4, "four"), (7, "seven")] + [(9, f"nine {i % 40}") for i in range(120)] + [(None, "none")] * 60 + [(i, f"text {i}") for i in range(100, 160)]
+    manifest, marks = idstore.write_store(docs(spark, rows), shared_dir(spark, "ids"), shards=8)
+    assert len(set(marks)) < len(marks) and manifest.filter("docs > 100").count() == 0
+    got = idstore.read_store(docs(spark, [(4, ""), (4, "")] + [(9, "")] * 130 + [(None, "")] * 60 + [(3, "")]), manifest, marks).collect()
+    found = {k: [r for r in got if r.doc_id == k] for k in (3, 4, 9, None)}
+    assert [sum(r.start is not None for r in found[k]) for k in (3, 4, 9, None)] == [0, 1, 120, 60]
+    assert [len(found[k]) for k in (3, 4, 9, None)] == [1, 2, 130, 60]
+    assert len({r.start for k in (4, 9, None) for r in found[k] if r.start is not None}) == 181
+
+
+def test_shard_reads_few_bytes(tmp_path):
+    for n in (2_000, 200_000):
+        rows = [(k, k.to_bytes(4, "little") * 3) for k in range(n)]
+        with open(tmp_path / f"{n}.ids", "wb") as out:
+            assert idstore.write_shard(out, rows) == (n, 3 * n)
+        shard = idstore.Shard(str(tmp_path / f"{n}.ids"))
+        assert shard.get(n // 2) == rows[n // 2][1] and shard.get(n // 2, 1) is None and shard.get(-5) is None and shard.get(0, -1) is None
+        assert shard.bytes_read < 6000
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     index = idstore.Index.build(keys)
     assert sorted(index.slots(keys)) == list(range(len(keys)))
-    assert len(index.levels) < 40
+    assert len(index.sizes) < 40
 
 
 def test_packing_and_store_of_nothing(spark):
@@ -132,7 +180,7 @@ def test_warc_round_trip(spark):
 
 def test_capture_index_is_globally_ordered(spark, monkeypatch):
     monkeypatch.setattr(warc, "FAN_IN", 3)  # several passes of whole-run merges
-    monkeypatch.setattr(warc, "MARK_EVERY", 4)
+    monkeypatch.setattr(warc, "AHEAD", 200)
     rows = [(i, f"http://h{i * 37 % 11}.example.com/{i % 5}", f"<p>{i}</p>") for i in range(200)]
     folder = shared_dir(spark, "warc")
     runs = warc.write_archives(pages(spark, rows).repartition(10), folder)
