@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into training sequences.
 
 A document is cut into pieces of a whole sequence each and a remainder. Remainders are dealt over blocks by a hash
-of their key. In a block, descending remainders each go to the sequence of the lowest attention cost (linear plus
+of their key and ids, and equal rows of a task by their number, so that no block gets a whole group of them. In a block, descending remainders each go to the sequence of the lowest attention cost (linear plus
 quadratic in the piece's length) that still has room; what fits nowhere is cut to fill the gaps. A block has as few
 sequences as its tokens need, so its padding is less than one sequence.
 """
@@ -22,7 +22,7 @@ BLOCK_ROWS = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CUTS = "id long, doc_tokens long, crcs array<long>, rest binary"
+_CUTS = "id long, doc_tokens long, crcs array<long>, rest binary, twin long"
 
 
 def assign(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -76,7 +76,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty text is a document of the end id alone. Rows that repeat a key are documents of their own, told
-    apart by nothing but their pieces. Null keys stay null. An empty table gives an empty result.
+    apart by nothing but their pieces; equal rows too. Null keys stay null. An empty table gives an empty result;
+    extra columns are ignored. A task holds one short count per distinct row of less than a sequence.
     """
     path = tokenizer or default_tokenizer()
     rows = df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("t"))
@@ -88,16 +89,21 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         import pyarrow as pa
 
         encode, end, width = encoder(path), end_id.to_bytes(4, "little"), 4 * capacity
-        schema = pa.schema([("id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary()), ("twin", pa.int64())])
+        met: dict[tuple, int] = {}
         for batch in batches:
-            n_tokens, crcs, rest = [], [], []
-            for t in batch.column("t"):
+            n_tokens, crcs, rest, twin = [], [], [], []
+            for key, t in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
                 ids = encode(t.as_py()) + end
                 full = len(ids) // width * width
                 n_tokens.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + width]) for i in range(0, full, width)])
                 rest.append(ids[full:])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], schema=schema)
+                own = key, zlib.crc32(ids), len(ids)
+                twin.append(met.get(own, 0))
+                if not full:
+                    met[own] = twin[-1] + 1
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(twin, pa.int64())], schema=schema)
 
     def place(group_key, table):
         import zlib
@@ -123,6 +129,6 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     cuts = rows.mapInArrow(cut, _CUTS)
-    block = F.pmod(F.xxhash64("id", "doc_tokens", "rest"), F.lit(blocks)).alias("block")
-    packed = cuts.select(block, "*").groupBy("block").applyInArrow(place, PIECES)
+    block = F.pmod(F.xxhash64("id", "doc_tokens", "rest", "twin"), F.lit(blocks)).alias("block")
+    packed = cuts.select(block, "id", "doc_tokens", "crcs", "rest").groupBy("block").applyInArrow(place, PIECES)
     return packed.withColumnRenamed("id", key)
