@@ -2,8 +2,8 @@
 
 Writing tasks put gzip-compressed records into archive files and a locally sorted run of index lines beside each.
 The runs are merged k ways by a loser tree, by URL key, then timestamp, then record id: over FAN_IN runs go in passes
-of whole runs, and the last pass merges key ranges (by splitters sampled in the runs) side by side. The merged index
-is a globally ordered history of captures, through which records are read back.
+of whole runs, and the last pass merges key ranges (by splitters sampled in the runs, found in each run by halving)
+side by side. The merged index is a globally ordered history of captures, through which records are read back.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, put_file, shared_dir, small
+from .common import file_system, partitions, put_file, shared_dir, small
 
-#: Runs that one merge reads at a time, bytes it reads ahead of each, and lines between two marks of a run.
-FAN_IN, AHEAD, MARK_EVERY = 64, 1 << 16, 256
-#: Splitter samples over all runs.
-SAMPLES = 20_000
+#: Runs that one merge reads at a time, and bytes it reads ahead of each.
+FAN_IN, AHEAD = 64, 1 << 16
+#: Splitter samples per run of the last pass, which has FAN_IN runs at most.
+SAMPLES = 512
+#: Repeated payloads (60 bytes each) up to which pages look theirs up without a shuffle.
+REPEATED = 200_000
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
 #: 2020-01-01T00:00:00Z; a page without a time of its own is dated this many seconds plus its id.
@@ -74,33 +76,41 @@ class LoserTree:
             self._replay(i)
 
 
-def write_run(out, lines) -> tuple[int, list[bytes]]:
-    """Sorted lines, then the marks (offset and line of every MARK_EVERY-th) as JSON and their place in 16 digits."""
-    at, n, marks = 0, 0, []
-    for line in lines:
-        if n % MARK_EVERY == 0:
-            marks.append((at, line.split(b" {", 1)[0].decode()))
-        out.write(line + b"\n")
-        at, n = at + len(line) + 1, n + 1
-    out.write(json.dumps(marks).encode() + b"%016d" % at)
-    return n, [m[1].encode() for m in marks]
+def line_at(f, at: int, size: int) -> tuple[int, bytes] | None:
+    """The first whole line that starts behind position ``at`` (at 0: there), with its place; lines may be long."""
+    block, step = f.read_at(min(4096, size - at), at), 4096
+    while True:
+        start = 0 if at == 0 else block.find(b"\n") + 1
+        stop = block.find(b"\n", start) if start or at == 0 else -1
+        if stop >= 0:
+            return at + start, block[start:stop]
+        if at + len(block) >= size:
+            return None
+        step *= 4
+        block += f.read_at(min(step, size - at - len(block)), at + len(block))
+
+
+def seek(f, low, size: int) -> int:
+    """A line's place, near below the first line whose key is not below ``low``: halving over byte positions."""
+    at, end = 0, size
+    while end - at > AHEAD:
+        mid = (at + end) // 2
+        found = line_at(f, mid, size)
+        if found is None or found[0] >= end:
+            end = mid
+        elif line_key(found[1]) < low:
+            at = found[0]
+        else:
+            end = found[0]
+    return at
 
 
 def read_run(uri: str, low=None, high=None):
-    """(key, line) of a run with low <= key < high, by blocks."""
+    """(key, line) of a run, which is sorted lines, with low <= key < high, by blocks."""
     fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
-        end = f.size()
-        stop = int(f.read_at(16, end - 16))
-        at = 0
-        if low is not None:
-            marks = json.loads(f.read_at(end - 16 - stop, stop))
-            for offset, text in marks:
-                key, stamp, number = text.encode().split(b" ")
-                if (key, stamp, int(number)) >= low:  # lines of this key may stand before its mark
-                    break
-                at = offset
-        rest = b""
+        stop = f.size()
+        at, rest = 0 if low is None else seek(f, low, stop), b""
         while at < stop:
             block = f.read_at(min(AHEAD, stop - at), at)
             at += len(block)
@@ -113,6 +123,15 @@ def read_run(uri: str, low=None, high=None):
                     yield key, line
 
 
+def sample_run(uri: str) -> list[bytes]:
+    """Keys (url, stamp, id) of the lines at SAMPLES even places of a run."""
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        size = f.size()
+        found = {line_at(f, size * i // SAMPLES, size) for i in range(SAMPLES)} if size else set()
+    return [line.split(b" {", 1)[0] for _, line in sorted(filter(None, found))]
+
+
 def record(kind: str, page: int | None, url: str, stamp: str, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
     """One WARC/1.1 record: an HTTP response, or a revisit that has the headers only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % size
@@ -148,13 +167,13 @@ def with_types(df: DataFrame, key: str, url: str, payload: str, least: int = REV
     rows = df.select(df[key].cast("long").alias("page"), F.coalesce(df[url].cast("string"), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(body).alias("digest"))
     groups = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = groups.filter("n > 1").select("digest", "size", "first")
-    rows = rows.join(small(groups), ["digest", "size"], "left")
+    rows = rows.join(small(groups, REPEATED), ["digest", "size"], "left")
     again = F.col("page") < F.col("first")
     return rows.select("page", "url", "html", "size", "digest", F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = REVISIT_BYTES) -> list[dict]:
-    """Write archives and sorted runs; returns one short entry per task: run, records, samples of its keys."""
+def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = REVISIT_BYTES) -> list[str]:
+    """Write archives and sorted runs; returns the runs' names, one per task."""
     rows = with_types(df, key, url, payload, least)
 
     def write(batches):
@@ -185,23 +204,17 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
         if not index:
             return
         index.sort(key=line_key)
-        said = []
-        put_file(f"{name}.cdxj", lambda out: said.append(write_run(out, index)))
-        n, marks = said[-1]
-        yield pa.RecordBatch.from_pylist([{"run": f"{name}.cdxj", "records": n, "marks": marks}], schema=pa.schema([("run", pa.string()), ("records", pa.int64()), ("marks", pa.list_(pa.binary()))]))
-
-    runs = [r.asDict() for r in rows.mapInArrow(write, "run string, records long, marks array<binary>").collect()]
-    each = max(2, SAMPLES // max(1, len(runs)))
-    for r in runs:
-        r["marks"] = r["marks"][:: max(1, len(r["marks"]) // each)]
-    return runs
+        put_file(f"{name}.cdxj", lambda out: out.writelines(line + b"\n" for line in index))
+        yield pa.RecordBatch.from_pydict({"run": [f"{name}.cdxj"]})
+
+    return [r.run for r in rows.mapInArrow(write, "run string").collect()]
 
 
-def merge_runs(spark, runs: list[dict], folder: str) -> list[dict]:
+def merge_runs(spark, runs: list[str], folder: str) -> list[str]:
     """Passes of whole-run merges until at most FAN_IN runs are left."""
     while len(runs) > FAN_IN:
         groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
-        jobs = spark.createDataFrame([(i, [r["run"] for r in g]) for i, g in enumerate(groups)], "i int, runs array<string>").repartitionById(len(groups), F.col("i"))
+        jobs = spark.createDataFrame(list(enumerate(groups)), "i int, runs array<string>").repartitionById(len(groups), F.col("i"))
 
         def work(batches):
             import uuid
@@ -210,22 +223,30 @@ def merge_runs(spark, runs: list[dict], folder: str) -> list[dict]:
 
             for batch in batches:
                 for job in batch.to_pylist():
-                    uri, said = f"{folder}/merged-{uuid.uuid4().hex}.cdxj", []
-                    put_file(uri, lambda out, job=job, said=said: said.append(write_run(out, (line for _, line in LoserTree([read_run(x) for x in job["runs"]])))))
-                    n, marks = said[-1]
-                    yield pa.RecordBatch.from_pylist([{"run": uri, "records": n, "marks": marks[:: max(1, len(marks) // 512)]}], schema=pa.schema([("run", pa.string()), ("records", pa.int64()), ("marks", pa.list_(pa.binary()))]))
+                    uri = f"{folder}/merged-{uuid.uuid4().hex}.cdxj"
+                    put_file(uri, lambda out, job=job: out.writelines(line + b"\n" for _, line in LoserTree([read_run(x) for x in job["runs"]])))
+                    yield pa.RecordBatch.from_pydict({"run": [uri]})
 
-        runs = [r.asDict() for r in jobs.mapInArrow(work, "run string, records long, marks array<binary>").collect()]
+        runs = [r.run for r in jobs.mapInArrow(work, "run string").collect()]
     return runs
 
 
-def captures(spark, runs: list[dict], folder: str, ranges: int | None = None) -> DataFrame:
+def captures(spark, runs: list[str], folder: str, ranges: int | None = None) -> DataFrame:
     """The merged index in global order: range, place, url_key, stamp, page, file, at, n, type."""
-    runs = merge_runs(spark, runs, folder)
-    marks = sorted(line_key(bytes(m) + b" ") for r in runs for m in r["marks"])
+    names = merge_runs(spark, runs, folder)
+
+    def sample(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for uri in batch.column("run").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sample_run(uri), pa.binary())], names=["mark"])
+
+    jobs = spark.createDataFrame([(r, i) for i, r in enumerate(names)], "run string, i int").repartitionById(max(1, len(names)), F.col("i"))
+    marks = sorted(line_key(bytes(r.mark) + b" ") for r in jobs.mapInArrow(sample, "mark binary").collect())  # at most FAN_IN * SAMPLES
     ranges = max(1, min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), len(marks)))
     cuts = sorted({marks[i * len(marks) // ranges] for i in range(1, ranges)}) if marks else []
-    lows, highs, names = [None, *cuts], [*cuts, None], [r["run"] for r in runs]
+    lows, highs = [None, *cuts], [*cuts, None]
     n = len(lows)
 
     def work(batches):
@@ -262,10 +283,10 @@ def read_back(index: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        for batch in batches:
-            # page by page through one archive: near reads together, however the index is ordered
-            out, now, stream = [], None, None
-            for e in sorted(batch.to_pylist(), key=lambda e: (e["file"], e["at"])):
+        now, stream = None, None
+        for batch in batches:  # archive by archive, in the order of their records: each is opened once
+            out = []
+            for e in batch.to_pylist():
                 if e["file"] != now:
                     if stream:
                         stream.close()
@@ -279,13 +300,15 @@ def read_back(index: DataFrame) -> DataFrame:
                     size = len(payload)
                 page, refers = fields["warc-record-id"][10:-1], fields.get("warc-refers-to")
                 out.append((int(page) if page else None, size, said, fields["warc-type"], int(refers[10:-1]) if refers else None))
-            if stream:
-                stream.close()
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if stream:
+            stream.close()
 
-    return index.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # the index is in URL order, records lie by writing task: index rows (no payloads) go to their archive
+    near = index.select("file", "at", "n", "page").repartition(partitions(index.sparkSession), "file").sortWithinPartitions("file", "at")
+    return near.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(df: DataFrame, key: str = "page_id", **options) -> DataFrame:
