@@ -1,6 +1,7 @@
 """Exact dedup, SimHash, quality, mixing: fixtures and brute force, odd inputs included."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -76,6 +77,39 @@ def test_drop_copies_keeps_columns(spark):
     assert exact.drop_copies(d).count() == len({t or "" for _, t, _ in ROWS})
 
 
+def test_near_drop_by_shingle_similarity(spark):
+    """Five-word shingle sets: pairs of 0.83 and more go, pairs below 0.72 stay, brute force over all pairs."""
+    r = random.Random(4)
+    texts = []
+    for k in range(120):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(r.choice((6, 30, 120, 600)))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            own = list(words)
+            for _ in range(max(1, int(len(own) * r.choice((0.0, 0.005, 0.02, 0.03, 0.08))))):
+                own[r.randrange(len(own))] = "new"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    got = [c.component_id for c in sorted(simhash.near_groups(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), shingle=5, similar=0.8).collect(), key=lambda c: c.doc_id)]
+    near = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    sure = [p for p, x in near.items() if x >= 0.83]
+    assert len(sure) > 60 and sum(got[i] == got[j] for i, j in sure) >= 0.98 * len(sure)
+    lower = plain_components_of(range(len(texts)), [p for p, x in near.items() if x >= 0.72])
+    assert all(lower[i] == lower[c] for i, c in enumerate(got))
+
+
+def plain_components_of(ids, pairs):
+    root = {i: i for i in ids}
+    for _ in ids:
+        changed = False
+        for i, j in pairs:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+        if not changed:
+            return root
+
+
 @pytest.mark.parametrize("run", [exact.exact_groups, exact.drop_copies, simhash.report, simhash.drop_near, quality.assess, quality.keep_good, mixing.mix, mixing.mixture])
 def test_empty_table(spark, run):
     assert run(docs(spark, [])).count() == 0
@@ -124,7 +158,7 @@ def test_simhash_links_clusters_and_chains(spark):
         x ^= 0b111 << i
     fps += [0xFEDCBA9876543210 ^ k for k in range(128)] + [int(hashlib.md5(str(i).encode()).hexdigest()[:16], 16) for i in range(300)]
     d = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in dict.fromkeys(fps)], "fp long")
-    roots = {r.node % 2**64: r.root for r in simhash.components(simhash.links(d)).collect()}
+    roots = {r.node % 2**64: r.root for r in simhash.components(simhash.links(simhash.pivot_table(d.withColumn("node", F.col("fp"))))).collect()}
     want = plain_components({i: f for i, f in enumerate(dict.fromkeys(fps))})
     order = list(dict.fromkeys(fps))
     sets = {}
@@ -138,14 +172,22 @@ def test_simhash_links_clusters_and_chains(spark):
 
 def test_crowded_meeting_places_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEETING", 40)
-    d = spark.createDataFrame([(k,) for k in range(256)], "fp long")
-    assert {r.root for r in simhash.components(simhash.links(d)).collect()} == {0}
+    far = [int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) << 3 for i in range(100)]
+    d = spark.createDataFrame([(k,) for k in (*range(256), *far)], "fp long")
+    assert {r.root for r in simhash.components(simhash.links(simhash.pivot_table(d.withColumn("node", F.col("fp"))))).collect()} == {0}
+
+
+def test_crowded_bands_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEETING", 40)
+    words = " ".join(f"w{i}" for i in range(300))
+    kept = simhash.drop_near(docs(spark, [(i, f"{words} end {i}", "s") for i in range(150)] + [(900 + i, f"{i} " * 30, "s") for i in range(5)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 900, 901, 902, 903, 904]
 
 
 def test_near_drop_keeps_one_of_each(spark):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(0, "", "s"), (None, "null key only, and nothing like it anywhere", "s")]
     d = docs(spark, rows)
-    kept = simhash.drop_near(d)
+    kept = simhash.drop_near(d, shingle=3, similar=None)
     assert kept.columns == d.columns
     want = plain_components({i: plain_fingerprint(t) for i, t in enumerate(TEXTS)})
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
