@@ -1,6 +1,7 @@
 """Personal data, URL rules, boosting and the pipeline."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -49,6 +50,56 @@ def test_added_spans(spark):
     assert [got[i].spans for i in (3, 4, 5)] == ["", "", ""]
 
 
+#: Written by hand, apart from the generator of the training examples: kind and the text whose marked part must be found.
+BY_HAND = [
+    ("email", "You can reach me under <<jane.doe (at) uni-bonn (dot) de>> until Friday"), ("email", "Bugs go to <<support[at]tooling[dot]org>>, thanks"), ("email", "contact: <<k.ito (at) kyoto-u.jp>> or by post"), ("email", "mail <<press [at] museum [dot] es>> for tickets"),
+    ("email", "Schreiben Sie an <<anna.berg(at)firma.de>> bitte"), ("email", "her address was <<mlopez77[at]correo[dot]com>> then"), ("email", "kontakt: <<office (at) verein (dot) org>>"), ("email", "<<j.r.smith [at] acme [dot] net>> wrote this"), ("email", "write <<info (at) shop-online (dot) com>> today"), ("email", "the list owner, <<owner[at]lists[dot]org>>, agreed"),
+    ("ip", "the client 2001:db8:: no, <<2001:db8:85a3::8a2e:370:7334>> logged in"), ("ip", "host <<fe80::1ff:fe23:4567:890a>> answered"), ("ip", "ping <<2001:0db8:0000:0000:0000:ff00:0042:8329>> failed"), ("ip", "server at <<2607:f0d0:1002:51::4>> is up"), ("ip", "from <<2a00:1450:4001:81b::200e>> to us"),
+    ("ip", "connection from <<10.20.30.40>> refused"), ("ip", "ip <<2620:0:2d0:200::7>>"), ("ip", "address <<2001:470:1f0b:1112::2>> was banned"), ("ip", "login <<192.168.12.7>> at noon"), ("ip", "the router <<fd12:3456:789a:1::1>> rebooted"),
+    ("card", "paid with visa <<4111 1111 1111 1111>> on Monday"), ("card", "credit card <<5500-0000-0000-0004>> expired"), ("card", "amex <<3782 822463 10005>>"), ("card", "card no. <<6011000990139424>>"), ("card", "charged to <<4012888888881881>>"),
+    ("card", "my mastercard <<5105.1051.0510.5100>> works"), ("card", "Karte: <<4222222222222>>"), ("card", "the number is <<3714 496353 98431>>"), ("card", "tarjeta <<4000 0566 5566 5556>> de prueba"), ("card", "payment by <<5555 5555 5555 4444>> received"),
+    ("phone", "call me at <<555-867-5309>> tonight"), ("phone", "phone: <<(212) 736-5000>>"), ("phone", "tel. <<+44 20 7946 0958>>"), ("phone", "fax <<415.555.2671>>"), ("phone", "whatsapp <<+34 912 345 678>>"), ("phone", "mobile <<+49 151 2345 6789>>"), ("phone", "reach us: call <<(030) 901-8200>>"), ("phone", "my cell is <<650-253-0000>>"), ("phone", "Tel <<+1 617 495 1000>> ext"), ("phone", "telefon <<+33 142 345 678>>"),
+]
+
+
+def test_recall_on_texts_of_another_origin(spark):
+    found = {r.doc_id: r.spans for r in pii.report(table(spark, [t.replace("<<", "").replace(">>", "") for _, t in BY_HAND])).collect()}
+    caught = {k: [] for k in pii.KINDS}
+    for i, (kind, text) in enumerate(BY_HAND):
+        caught[kind].append(f"{kind}:{text.index('<<')}:{text.index('>>') - 2}" in found[i].split(","))
+    assert {k: sum(v) / len(v) >= 0.9 for k, v in caught.items()} == dict.fromkeys(pii.KINDS, True), [BY_HAND[i] + (found[i],) for i in found if f":{BY_HAND[i][1].index('<<')}:" not in found[i]]
+
+
+def test_clusters_and_counts_against_loops(spark):
+    r = random.Random(6)
+    for n in (0, 1, 7, 300, 900):
+        spans = sorted((a := r.randint(0, 6 * n), a + r.randint(1, 9)) for _ in range(n))
+        d = spark.createDataFrame([([{"start": a, "end": b} for a, b in spans],)], "s array<struct<start:long,end:long>>")
+        got = d.select(pii.clusters(F.col("s")).alias("c"), pii.latest_end(F.col("s")).alias("e"), pii.count_below(F.transform("s", lambda x: x["start"]), F.lit(3 * n)).alias("k")).first()
+        want, end = [], -1
+        for a, b in spans:
+            if a >= end:
+                want.append([])
+            want[-1].append((a, b))
+            end = max(end, b)
+        assert [[(x.start, x.end) for x in c] for c in got.c] == want
+        assert got.e == [max(b for _, b in spans[: i + 1]) for i in range(n)] and got.k == sum(a < 3 * n for a, _ in spans)
+
+
+def test_redaction(spark):
+    texts = ["é +1 (743) 555-3824 and x@y.z.", None, "", "no data", "jo [at] mail [dot] com, 10.0.0.1"]
+    d = table(spark, texts)
+    got = pii.redact(d)
+    assert got.columns == d.columns
+    assert [r.text for r in got.orderBy("doc_id").collect()] == ["é [PHONE] and [EMAIL].", None, "", "no data", "[EMAIL], [IP]"]
+
+
+def test_odd_rows(spark):
+    d = spark.createDataFrame([(None, "x@y.z"), (None, "x@y.z"), (1, "a" * 200_000 + " x@y.z"), (1, "4845168114407329 x " * 3000)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_email, r.n_card) for r in pii.report(d).collect())
+    assert got == [(False, 0, 3000), (False, 1, 0), (True, 1, 0), (True, 1, 0)]
+
+
 def test_held_out_accuracy(spark):
     """Fresh examples of another seed: precision of what passes, by kind."""
     model, cuts = pii.fit(spark)
