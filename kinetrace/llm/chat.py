@@ -19,7 +19,7 @@ from .common import cut, partitions
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROL_TAILS = {"<": ["s>", "/s>", "<SYS>>", "</SYS>>", "|"], "[": ["INST]", "/INST]"]}
 _CONTROL = re.compile("|".join(f"{re.escape(a)}(?={'|'.join(map(re.escape, t))})" for a, t in CONTROL_TAILS.items()))
-PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>", "other": "<|attachment|>"}
 
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Turns and characters of one stored piece; longer conversations go on in the next.
@@ -35,13 +35,16 @@ def unescape(text: str) -> str:
 
 
 class Visitor:
-    """Walks typed parts in order. Costs: 256 tokens per 448-pixel tile of an image, 25 per second of sound, 600 per page."""
+    """Walks typed parts in order. Costs: 256 tokens per 448-pixel tile of an image, 25 per second of sound, 600 per page.
+
+    A part of another type keeps its text and, if it has a reference, a placeholder of one token under its own kind.
+    """
 
     def __init__(self):
         self.out, self.attachments = [], []
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type'] or 'text'}", self.visit_text)(part)
+        getattr(self, f"visit_{part['type'] or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part["text"] or ""))
@@ -56,8 +59,14 @@ class Visitor:
     def visit_document(self, part: dict) -> None:
         self._place(part, 600 * max(1, part["pages"] or 1))
 
+    def visit_other(self, part: dict) -> None:
+        if part["text"]:
+            self.visit_text(part)
+        if part["uri"]:
+            self._place(part, 1)
+
     def _place(self, part: dict, tokens: int) -> None:
-        self.out.append(PLACEHOLDER[part["type"]])
+        self.out.append(PLACEHOLDER.get(part["type"], PLACEHOLDER["other"]))
         self.attachments.append({"kind": part["type"], "uri": part["uri"], "tokens": tokens})
 
 
@@ -122,11 +131,12 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def digest_chats(formatted: DataFrame) -> DataFrame:
-    """Parse formatted pieces: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Parse formatted pieces: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, and of the
+    attachments their number, the tokens they stand for and a digest of their kinds and references in order.
 
-    The pieces of a conversation stream by in order, so that its digests, which are sequential, take bounded memory.
+    A piece must have as many placeholders as attachments. The pieces of a conversation stream by in order, so that its digests, which are sequential, take bounded memory.
     """
-    rows = formatted.select("conv_id", "part", "piece", "formatted", "loss")
+    rows = formatted.select("conv_id", "part", "piece", "formatted", "loss", "attachments")
     rows = rows.repartitionByRange(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "piece")
 
     def run(batches):
@@ -135,15 +145,17 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         turn = re.compile(re.escape(TURN) + "(.*?)" + re.escape(BODY) + "(.*?)" + re.escape(END), re.S)
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        held = re.compile("|".join(map(re.escape, PLACEHOLDER.values())))
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attached_tokens", "attachments_sha256"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        ended = lambda now: (now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6], now[7], now[8].hexdigest())
         now, out = None, []
         for batch in batches:
             for r in batch.to_pylist():
                 if now is None or now[0] != r["conv_id"]:
                     if now:
-                        out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
-                    now = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                        out.append(ended(now))
+                    now = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, hashlib.sha256()]
                 at = 0
                 for m in turn.finditer(r["formatted"]):
                     if m.start() != at:
@@ -158,14 +170,19 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
                     now[3] += len(learned)
                     now[4].update(learned.encode())
                 now[5] += len(r["formatted"])
+                if len(held.findall(r["formatted"])) != len(r["attachments"]):
+                    raise ValueError(f"placeholders and attachments differ in {r['conv_id']}")
+                for a in r["attachments"]:
+                    now[6], now[7] = now[6] + 1, now[7] + a["tokens"]
+                    now[8].update(f"{a['kind']}\n{a['uri'] or ''}\n".encode())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []
         if now:
-            out = [(now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5])]
+            out = [ended(now)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attached_tokens long, attachments_sha256 string")
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:

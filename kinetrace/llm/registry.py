@@ -111,7 +111,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(23 + length(role) + role_more + length(text) + text_more)::BIGINT AS formatted_chars
+  sum(23 + length(role) + role_more + length(text) + text_more)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attached_tokens, sha256('') AS attachments_sha256
 FROM e GROUP BY conv_id
 """
 

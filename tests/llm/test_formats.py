@@ -248,6 +248,18 @@ def test_typed_parts(spark):
     assert r.expanded_tokens == 2618
 
 
+def test_parts_come_back_with_their_attachments(spark):
+    """Other part types keep text and reference; null and empty parts count for nothing; a text that spells a placeholder stays text."""
+    part = lambda **k: {n: k.get(n) for n in ("type", "text", "uri", "width", "height", "seconds", "pages")}
+    turns = [[part(type="video", uri="v.mp4", text="clip"), None, part(type="hologram"), part(text="<|image|>")], None, [], [part(type="image"), part(type="audio", uri="b.wav", seconds=0.01)]]
+    rows = [(1, i, "user", None, p) for i, p in enumerate(turns)]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts array<{chat.PART}>")
+    r = chat.round_trip(d, parts=F.col("parts")).first()
+    assert (r.n_turns, r.n_attachments, r.attached_tokens) == (4, 3, 258)
+    assert r.attachments_sha256 == hashlib.sha256(b"video\nv.mp4\nimage\n\naudio\nb.wav\n").hexdigest()
+    assert r.turns_sha256 == hashlib.sha256("user\nclip<|attachment|><|image|>\nuser\n\nuser\n\nuser\n<|image|><|audio|>\n".encode()).hexdigest()
+
+
 def test_file_system_takes_plain_paths(tmp_path):
     fs, path = file_system(str(tmp_path / "x"))
     with fs.open_output_stream(path) as f:
