@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 128
+BLOCK = 64
 
 
 @lru_cache(maxsize=64)

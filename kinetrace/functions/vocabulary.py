@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 # Fixed values, in their frozen order.
 STATES = ("STANDING", "LYING", "WALKING", "FEEDING")
-POSTURE_OF_STATE = {0: 0, 1: 1, 2: 0, 3: 0}
 EVENTS = ("STANDING_UP", "LYING_DOWN", "URINATION", "DEFECATION", "TAIL_RAISED", "MOUNTING", "MOUNTED_BY")
 DEPRECATED = ("TAIL_WAGGING",)
-DAY_LEVEL = ("ESTRUS", "CALVING")
 RATE_PER_HOUR = {"URINATION": 1.5, "DEFECATION": 2.5, "STANDING_UP": 4.0, "LYING_DOWN": 4.0, "TAIL_RAISED": 12.0, "MOUNTING": 8.0, "MOUNTED_BY": 8.0, "TAIL_WAGGING": 60.0}
 MERGE_GAP_MS = {"STANDING_UP": 2000, "LYING_DOWN": 2000, "MOUNTING": 2000, "MOUNTED_BY": 2000, "URINATION": 5000, "DEFECATION": 4000, "TAIL_RAISED": 3000, "TAIL_WAGGING": 1500}
 MIN_LENGTH_MS = {"STANDING_UP": 1000, "LYING_DOWN": 1000, "MOUNTING": 1000, "MOUNTED_BY": 1000, "URINATION": 4000, "DEFECATION": 3000, "TAIL_RAISED": 2000, "TAIL_WAGGING": 1000}
-CONTEXT_SECONDS = {"STANDING_UP": 8, "LYING_DOWN": 8, "URINATION": 20, "DEFECATION": 30, "TAIL_RAISED": 15, "MOUNTING": 6, "MOUNTED_BY": 6, "TAIL_WAGGING": 3}
 LEAST_EVENTS, LEAST_ANIMALS = 10, 3
 RING_POSITIONS = ("root", "mid", "tip", "unknown")
-ESTRUS_DIRECTION = {"lying_hours": -1.0, "walking_hours": 1.0, "lying_bouts": 1.0, "posture_transitions": 1.0, "urination_count": 1.0, "tail_raised_count": 1.0, "mounting_count": 1.0, "mounted_by_count": 2.0, "activity_index": 1.0}
 STEP_MS, SAMPLE_MS, RATE_HZ = 500, 20, 50
 
 
@@ -40,7 +36,7 @@ def walking(body: Column) -> Column:
 def ring_position(text: Column) -> Column:
     """Normalised mounting position, else unknown."""
     low = F.lower(F.trim(text))
-    return F.when(low.isin(*RING_POSITIONS), low).otherwise("unknown")
+    return F.coalesce(F.when(low.isin(*RING_POSITIONS), low), F.lit("unknown"))
 
 
 def truthy(text: Column) -> Column:

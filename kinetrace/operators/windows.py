@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Frames of more rows than this use prefix sums: their cost doesn't depend on the width.
-WIDE = 100
-
-
 def offsets(seconds: float, causal: bool, rate: int = 50) -> tuple[int, int]:
     """[lo, hi) row offsets of a window of so many seconds."""
     span = max(1, int(round(seconds * rate)))
@@ -30,24 +26,20 @@ def wide_mean_and_sd(df: DataFrame, value: str, by: list[str], order: list[str],
     d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_m", F.avg(value).over(whole))
     d = d.withColumn("_x", F.col(value) - F.col("_m"))
     d = d.withColumn("_s", F.sum("_x").over(upto)).withColumn("_q", F.sum(F.col("_x") * F.col("_x")).over(upto))
-    first = F.greatest(F.least(F.col("_i") + lo, F.col("_n") - 1), F.lit(0))
-    stop = F.greatest(F.least(F.col("_i") + hi, F.col("_n")), F.lit(1))
-    stop = F.greatest(stop, first + 1)
-    first = F.least(first, stop - 1)
-
     def at(c: str, offset: int) -> Column:  # running sum before row i + offset, 0 in front, the whole sum behind
         ahead = F.lead(c, offset - 1).over(w) if offset > 0 else F.lag(c, 1 - offset).over(w)
         return F.when(F.col("_i") + offset <= 0, 0.0).when(F.col("_i") + offset >= F.col("_n"), F.last(c).over(whole)).otherwise(ahead)
 
-    d = d.withColumn("_a", first).withColumn("_b", stop).withColumn("_k", (F.col("_b") - F.col("_a")).cast("double"))
     ordinary = (F.col("_i") + hi > 0) & (F.col("_i") + lo < F.col("_n"))
+    inside = F.least(F.col("_n"), F.col("_i") + hi) - F.greatest(F.lit(0), F.col("_i") + lo)
+    d = d.withColumn("_k", F.when(ordinary, inside).cast("double"))
     for c in ("_s", "_q"):
         d = d.withColumn(f"{c}d", at(c, hi) - at(c, lo))
     edge = F.first("_x").over(whole) if hi <= 0 else F.last("_x").over(whole)
     d = d.withColumn("_mean", F.when(ordinary, F.col("_sd") / F.col("_k")).otherwise(edge))
     var = F.when(ordinary, F.greatest(F.col("_qd") / F.col("_k") - F.col("_mean") * F.col("_mean"), F.lit(0.0))).otherwise(0.0)
     d = d.withColumn(mean, F.col("_mean") + F.col("_m")).withColumn(sd, F.sqrt(var))
-    return d.drop("_i", "_n", "_m", "_x", "_s", "_q", "_a", "_b", "_k", "_sd", "_qd", "_mean")
+    return d.drop("_i", "_n", "_m", "_x", "_s", "_q", "_k", "_sd", "_qd", "_mean")
 
 
 def shifted_max(df: DataFrame, value: str, by: list[str], order: list[str], lo: int, hi: int, name: str) -> DataFrame:

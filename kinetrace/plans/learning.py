@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models import boosting
 from ..operators.posture import Machine
+from ..sources.scratch import shared_dir
 from ..sources.tables import HOUR, POINTS, points, table
 from ..streaming import causal
 from .catalog import query
@@ -30,11 +31,7 @@ def replay(spark, df, name: str, plan, key: list[str], time: str):
 
     The table comes in slices of time, each a micro-batch of its own on the state that the last one left.
     """
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinetrace-stream-")
-    base = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_dir(spark, name)
     df.withColumn("_at", F.unix_micros(time) if dict(df.dtypes)[time] == "timestamp" else F.col(time)).write.parquet(f"{base}/all")
     rows = spark.read.parquet(f"{base}/all")
     n = -(-rows.count() // SLICE)

@@ -41,13 +41,13 @@ def macro_f1(spark, sf):
     return metrics.multiclass(classes(spark, sf), "actual", "predicted", 4).select("evaluated", F.round("mof", 9).alias("mof"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-#: Events as masked binary heads: one code has no positives, one no negatives.
-HEADS = f"{POINTS}, h AS (SELECT code, entity, round(score, 2) AS score, CASE WHEN code = 'error' THEN 0 WHEN code = 'click' THEN 1 ELSE (id % 5 = 0)::INT END AS actual FROM p WHERE id % 3 <> 0)"
+#: Events as binary heads: one code has no positives, one no negatives.
+HEADS = f"{POINTS}, h AS (SELECT code, entity, round(score, 2) AS score, CASE WHEN code = 'error' THEN 0 WHEN code = 'click' THEN 1 ELSE (id % 5 = 0)::INT END AS actual FROM p)"
 
 
 def heads(spark, sf):
     actual = F.when(F.col("code") == "error", 0).when(F.col("code") == "click", 1).otherwise((F.col("id") % 5 == 0).cast("int"))
-    return points(spark, sf).filter("id % 3 <> 0").select("code", "entity", F.round("score", 2).alias("score"), actual.alias("actual"))
+    return points(spark, sf).select("code", "entity", F.round("score", 2).alias("score"), actual.alias("actual"))
 
 
 CURVE = f"""{HEADS}, s AS (SELECT code, score, sum(actual)::BIGINT AS pos, count(*) AS n FROM h GROUP BY ALL),
@@ -100,12 +100,12 @@ def per_cow_metrics(spark, sf):
 
 @query("bootstrap_ci", f"""
 WITH {POINTS}, g AS (SELECT entity, avg(score) AS v FROM p GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY entity) - 1 AS i, count(*) OVER () AS n FROM g),
-d AS (SELECT a.range AS r, ('0x' || md5('20260819:' || a.range || ':' || b.range)[1:12])::BIGINT % (SELECT max(n) FROM r) AS i FROM range(200) a, range((SELECT max(n) FROM r)) b),
+d AS (SELECT a.range AS r, ('0x' || md5('20260819:' || a.range || ':' || b.range)[1:12])::BIGINT % (SELECT max(n) FROM r) AS i FROM range(1000) a, range((SELECT max(n) FROM r)) b),
 m AS (SELECT d.r, avg(v) AS m FROM d JOIN r USING (i) GROUP BY 1)
 SELECT round((SELECT avg(v) FROM g), 9) AS point, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, (SELECT count(*) FROM g) AS groups FROM m""")
 def bootstrap_ci(spark, sf):
     g = points(spark, sf).groupBy("entity").agg(F.avg("score").alias("v"))
-    return metrics.bootstrap(g, "v", resamples=200).select(*[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "groups")
+    return metrics.bootstrap(g, "v").select(*[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "groups")
 
 
 @query("selection_score", f"""

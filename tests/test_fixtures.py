@@ -268,9 +268,11 @@ def motion(n, lever=1.0, seed=0, tilt=0.0):
     return np.concatenate([acc, gyro], axis=1)
 
 
+from .test_features import plain_reference  # noqa: E402
+
+
 def bank(block, version=2, causal=True, ref=None):
-    static, dyn = filters.gravity_split(block[:, :3], causal)
-    unit, scale, _ = ref or features.session_reference(static[::10], np.linalg.norm(dyn, axis=1)[::10], np.linalg.norm(block[:, 3:], axis=1)[::10])
+    unit, scale, _ = ref or plain_reference([block], causal)
     return features.bank(block, np.zeros(len(block)), np.arange(0, len(block), 25), causal, unit, scale, version)
 
 
