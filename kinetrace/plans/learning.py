@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import boosting
-from ..operators.posture import Machine
 from ..sources.scratch import shared_dir
 from ..sources.tables import HOUR, POINTS, points, table
 from ..streaming import causal
 from .catalog import query
-from .signal import postures
+from .signal import MACHINE, SMOOTHED, postures
 
 
 @query("gbdt_score")
@@ -61,8 +60,8 @@ def stream_positive_runs(spark, sf):
     return replay(spark, p, "runs", lambda s: causal.positive_runs(s, "entity", "t", "score", 0.5, 12 * HOUR, HOUR), ["entity"], "t")
 
 
-@query("stream_state_machine")
+@query("stream_state_machine", SMOOTHED + " SELECT entity, t, state_sm FROM q")
 def stream_state_machine(spark, sf):
     """The posture state machine as a stateful stream; equals the batch form."""
     d = postures(spark, sf).drop("target")
-    return replay(spark, d, "posture", lambda s: causal.state_machine(s, "entity", "t", Machine(2, 2, 0.1, 0.5, 24 * HOUR)), ["entity"], "t")
+    return replay(spark, d, "posture", lambda s: causal.state_machine(s, "entity", "t", MACHINE), ["entity"], "t")

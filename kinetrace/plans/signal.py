@@ -96,7 +96,38 @@ def signal(spark, sf):
     )
 
 
-@query("gravity_split")
+def gravity_sql() -> str:
+    """Recursive SQL of the causal gravity filter: section after section, sample by sample (under 64 samples: the mean)."""
+    axes = [f"{a}{k}" for a in "xyz" for k in range(2)]
+    start, step, carry = [], [], []
+    for a in "xyz":
+        x = f"n.{a}"
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(filters.butterworth(4, 0.3, 50.0).tolist()):
+            v = f"{a}{k}"
+            first, now = (f"{b0!r}::DOUBLE * ({x})",) * 2
+            now += f" + g.p{v}"
+            start.append((v, first))
+            step.append((v, now))
+            carry += [(f"p{v}", f"{b1!r}::DOUBLE * ({{x{v}}}) - {a1!r}::DOUBLE * {{y{v}}} + {{q{v}}}"), (f"q{v}", f"{b2!r}::DOUBLE * ({{x{v}}}) - {a2!r}::DOUBLE * {{y{v}}}")]
+            x = f"w{v}"
+    inputs = {f"x{a}{k}": a if k == 0 else f"w{a}0" for a in "xyz" for k in range(2)}
+
+    def layer(source: str, values: list[tuple[str, str]], q: str) -> str:
+        inner = ", ".join(f"{e} AS w{v}" for v, e in values)
+        after = ", ".join(e.format(**inputs, **{f"y{v}": f"w{v}" for v in axes}, **{f"q{v}": q.format(v=v) for v in axes}) + f" AS {name}" for name, e in carry)
+        return f"SELECT cache_key, i, {', '.join(f'w{v} AS {v}' for v in axes)}, {after} FROM (SELECT n.cache_key, n.i, n.x, n.y, n.z, {inner}{'' if q == '0.0::DOUBLE' else ', ' + ', '.join(f'g.q{v} AS old{v}' for v in axes)} FROM {source})"
+
+    return f"""z AS (SELECT 's' || entity AS cache_key, row_number() OVER (PARTITION BY entity ORDER BY k0, k1, k2, k3, y) - 1 AS i, x AS v, k2 FROM s),
+n AS (SELECT cache_key, i, sin(i * 0.21) * 0.1 * v / 50 AS x, sin(i * 0.13) * 0.2 * v / 50 AS y, 1 + sin(i * 0.31) * 0.05 * v / 50 AS z, sin(i * 0.17) * 40 * v / 50 AS gx, sin(i * 0.23) * 30 * v / 50 AS gy, sin(i * 0.41) * 20 * v / 50 AS gz FROM z),
+g AS ({layer("n WHERE n.i = 0", start, "0.0::DOUBLE")} UNION ALL {layer("g JOIN n ON n.cache_key = g.cache_key AND n.i = g.i + 1", step, "old{v}")}),
+m AS (SELECT cache_key, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM n GROUP BY 1),
+st AS (SELECT n.*, m.n, CASE WHEN m.n < 64 THEN m.x ELSE g.x1 END AS sx, CASE WHEN m.n < 64 THEN m.y ELSE g.y1 END AS sy, CASE WHEN m.n < 64 THEN m.z ELSE g.z1 END AS sz FROM n JOIN g USING (cache_key, i) JOIN m USING (cache_key))"""
+
+
+GRAVITY = f"WITH RECURSIVE {SAMPLES}, {gravity_sql()}"
+
+
+@query("gravity_split", GRAVITY + " SELECT cache_key, i AS frame_index, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz FROM st")
 def gravity_split(spark, sf):
     """Static acceleration of each segment."""
 
@@ -108,13 +139,19 @@ def gravity_split(spark, sf):
         static, _ = filters.gravity_split(np.column_stack([t.column(c).to_numpy() for c in ("acc_x", "acc_y", "acc_z")]), causal=True)
         return pa.table([t.column("cache_key"), t.column("frame_index"), *map(pa.array, static.T)], names=["cache_key", "frame_index", "sx", "sy", "sz"])
 
-    return signal(spark, sf).select("cache_key", "segment_id", "frame_index", "acc_x", "acc_y", "acc_z").groupBy("cache_key", "segment_id").applyInArrow(run, "cache_key string, frame_index long, sx double, sy double, sz double")
+    d = signal(spark, sf).select("cache_key", "segment_id", "frame_index", "acc_x", "acc_y", "acc_z").groupBy("cache_key", "segment_id").applyInArrow(run, "cache_key string, frame_index long, sx double, sy double, sz double")
+    return d.select("cache_key", "frame_index", *[F.round(c, 6).alias(c) for c in ("sx", "sy", "sz")])
 
 
-@query("session_reference")
+@query("session_reference", GRAVITY + """,
+t AS (SELECT cache_key, sx, sy, sz, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS motion, sqrt(gx * gx + gy * gy + gz * gz) AS rate FROM st WHERE i % 10 = 0 AND n >= 32),
+e AS (SELECT *, quantile_cont(motion, 0.3) OVER (PARTITION BY cache_key) AS edge, count(*) OVER (PARTITION BY cache_key) AS k FROM t), f AS (SELECT *, count(*) FILTER (motion <= edge) OVER (PARTITION BY cache_key) AS still FROM e),
+r AS (SELECT cache_key, median(sx) FILTER (motion <= edge OR still < 10) AS ux, median(sy) FILTER (motion <= edge OR still < 10) AS uy, median(sz) FILTER (motion <= edge OR still < 10) AS uz, quantile_cont(rate, 0.9) AS high, any_value(k) AS k, avg((motion <= edge OR still < 10)::INT) AS quiet FROM f GROUP BY 1), u AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS size FROM r)
+SELECT cache_key, round(ux / size, 6) AS ux, round(uy / size, 6) AS uy, round(uz / size, 6) AS uz, round(CASE WHEN k >= 10 THEN greatest(high, 5) ELSE 1 END, 6) AS gyro_scale, round(quiet, 6) AS quiet FROM u""")
 def session_reference(spark, sf):
     """Gravity direction and amplitude scale per session."""
-    return features.references(signal(spark, sf), "cache_key", "segment_id", "frame_index", True)
+    d = features.references(signal(spark, sf), "cache_key", "segment_id", "frame_index", True)
+    return d.select("cache_key", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
 
 
 @query("feature_bank")
@@ -135,13 +172,54 @@ def postures(spark, sf):
     return p.select("entity", "t", (1 - F.col("score")).alias("upright"), F.col("score").alias("lying"), ((F.col("id") % 7) / 7).alias("up"), ((F.col("id") % 5) / 5).alias("down"), (F.col("id") % 2).cast("int").alias("target"))
 
 
-@query("state_machine")
+MACHINE = posture.Machine(2, 2, 0.1, 0.5, 24 * HOUR)
+
+
+def machine_sql(settings: str, extra: str = "") -> str:
+    """Recursive SQL of the posture machine; ``settings`` is a table (machine, confirm, dwell_min, margin, weight)."""
+    order = "PARTITION BY entity ORDER BY t, upright, lying, up, down"
+    return f"""WITH RECURSIVE {POINTS}, o AS (SELECT entity, t, 1 - score AS upright, score AS lying, (id % 7) / 7 AS up, (id % 5) / 5 AS down, id % 2 AS target FROM p), d AS (SELECT *, t - lag(t) OVER ({order}) AS step FROM o),
+b AS (SELECT *, sum(CASE WHEN step <= 0 OR step > {24 * HOUR} THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS run FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY entity, run ORDER BY t) AS i FROM b), c AS ({settings}),
+m AS (SELECT machine, entity, run, i, (lying > upright)::INT AS state, 0 AS asking, dwell_min AS dwell FROM r, c WHERE i = 1 UNION ALL
+SELECT machine, entity, run, i, CASE WHEN turn THEN 1 - state ELSE state END, CASE WHEN turn THEN 0 ELSE ask END, CASE WHEN turn THEN 1 ELSE dwell + 1 END FROM (
+SELECT m.machine, r.entity, r.run, r.i, m.state, m.dwell, CASE WHEN m.state = 0 THEN lying + weight * down > upright + weight * up + margin ELSE upright + weight * up > lying + weight * down + margin END AS other,
+CASE WHEN other THEN m.asking + 1 ELSE 0 END AS ask, other AND m.dwell >= dwell_min AND m.asking + 1 >= confirm AS turn FROM m JOIN r ON r.entity = m.entity AND r.run = m.run AND r.i = m.i + 1 JOIN c ON c.machine = m.machine)){extra}"""
+
+
+ONE = "SELECT 0 AS machine, 2 AS confirm, 2 AS dwell_min, 0.1::DOUBLE AS margin, 0.5::DOUBLE AS weight"
+SMOOTHED = machine_sql(ONE, ", q AS (SELECT entity, t, (lying > upright)::INT AS state_raw, state AS state_sm, target FROM m JOIN r USING (entity, run, i))")
+
+
+@query("state_machine", SMOOTHED + " SELECT entity, t, state_raw, state_sm FROM q")
 def state_machine(spark, sf):
     """Raw and confirmed posture per point."""
-    return posture.smooth(postures(spark, sf), ["entity"], "t", posture.Machine(2, 2, 0.1, 0.5, 24 * HOUR)).select("entity", "t", "state_raw", "state_sm")
+    return posture.smooth(postures(spark, sf), ["entity"], "t", MACHINE).select("entity", "t", "state_raw", "state_sm")
+
+
+@query("state_scores", SMOOTHED + """, k AS (SELECT 'state_raw' AS states, target AS y, state_raw AS p FROM q UNION ALL SELECT 'state_sm', target, state_sm FROM q),
+f AS (SELECT states, c.range AS c, count(*) FILTER (y = c.range AND p = c.range) AS tp, count(*) FILTER (y = c.range) AS yes, count(*) FILTER (p = c.range) AS said, count(*) AS n FROM k, range(2) c GROUP BY ALL)
+SELECT states, any_value(n) AS evaluated, round(avg(coalesce(2 * tp / nullif(yes + said, 0), 0)), 9) AS macro_f1 FROM f GROUP BY states""")
+def state_scores(spark, sf):
+    """Macro F1 of the raw and the confirmed states."""
+    d = posture.smooth(postures(spark, sf), ["entity"], "t", MACHINE)
+    return posture.state_scores(d, "target").withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+@query("state_changes", SMOOTHED + ", w AS (SELECT coalesce(state_raw <> lag(state_raw) OVER (PARTITION BY entity ORDER BY t), false)::INT AS a, coalesce(state_sm <> lag(state_sm) OVER (PARTITION BY entity ORDER BY t), false)::INT AS b FROM q) SELECT sum(a)::BIGINT AS state_raw_changes, sum(b)::BIGINT AS state_sm_changes FROM w")
+def state_changes(spark, sf):
+    """How often either state changes along an animal's points."""
+    d = posture.smooth(postures(spark, sf), ["entity"], "t", MACHINE)
+    return posture.state_changes(d, ["entity"], "t", ["state_raw", "state_sm"])
+
+
+GRID_SQL = "SELECT row_number() OVER () - 1 AS machine, confirm, dwell_min, margin, weight FROM (SELECT unnest([2, 4, 6, 10]) AS confirm), (SELECT unnest([2, 4, 10, 20]) AS dwell_min), (SELECT unnest([0.0, 0.1, 0.2, 0.3]::DOUBLE[]) AS margin), (SELECT unnest([0.0, 0.25, 0.5, 1.0]::DOUBLE[]) AS weight)"
 
 
-@query("tune_state_machine")
+@query("tune_state_machine", machine_sql("SELECT confirm * 1000000 + dwell_min * 10000 + round(margin * 10) * 100 + round(weight * 4) AS machine, confirm, dwell_min, margin, weight FROM (" + GRID_SQL + ")", """,
+k AS (SELECT machine, count(*) FILTER (target = 0 AND state = 0) AS c00, count(*) FILTER (target = 0 AND state = 1) AS c01, count(*) FILTER (target = 1 AND state = 0) AS c10, count(*) FILTER (target = 1 AND state = 1) AS c11 FROM m JOIN r USING (entity, run, i) GROUP BY 1),
+f AS (SELECT *, (coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2 AS f1 FROM k JOIN c USING (machine))
+SELECT confirm, dwell_min AS dwell, margin, weight AS event_weight, c00, c01, c10, c11, round(f1, 9) AS macro_f1, row_number() OVER (ORDER BY f1 DESC, confirm + dwell_min, confirm, dwell_min, margin, weight) = 1 AS best FROM f"""))
 def tune_state_machine(spark, sf):
     """All 256 settings in one grouped pass."""
-    return posture.tune(postures(spark, sf), ["entity"], "t", "target", gap=24 * HOUR)
+    d = posture.tune(postures(spark, sf), ["entity"], "t", "target", gap=24 * HOUR)
+    return d.select("confirm", "dwell", "margin", "event_weight", "c00", "c01", "c10", "c11", F.round("macro_f1", 9).alias("macro_f1"), "best")
