@@ -6,13 +6,16 @@ import argparse
 import json
 import platform
 import sys
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .functions.vocabulary import RATE_PER_HOUR
+from .drivers import cache, prediction, training
+from .functions.vocabulary import DEPRECATED, EVENTS, RATE_PER_HOUR, STATES
+from .models import boosting
 from .operators import features, mining, reports, splits
 from .session import build
-from .sources import sinks
+from .sources import recordings, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,10 +26,35 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--cows", type=int, required=True)
     v.add_argument("--days", type=int, required=True)
     verbs.add_parser("check-env")
-    v = verbs.add_parser("check-data", help="duplicate keys and empty intervals of an annotation table; exit code 1 on FAIL")
+    v = verbs.add_parser("check-data", help="the checks of an annotation table and of what is given beside it; exit code 1 on FAIL")
     v.add_argument("annotations")
-    v = verbs.add_parser("diagnose", help="audit and balance of an annotation table, as Markdown")
+    v.add_argument("--sessions")
+    v.add_argument("--caches")
+    v.add_argument("--folds")
+    v.add_argument("--features")
+    v = verbs.add_parser("diagnose", help="audit and balance of an annotation table, as Markdown, or as JSON below a folder too")
     v.add_argument("annotations")
+    v.add_argument("--out")
+    v = verbs.add_parser("build-cache", help="recordings (JSON documents, named by session) to a labelled session cache")
+    v.add_argument("recordings")
+    v.add_argument("annotations")
+    v.add_argument("calibration")
+    v.add_argument("out")
+    v.add_argument("--coverage")
+    v.add_argument("--tail-policy", default="derive", choices=("derive", "exclude", "legacy"))
+    v = verbs.add_parser("train-gbdt", help="features and labels, joined by session, segment and centre, to a bundle")
+    v.add_argument("features")
+    v.add_argument("labels")
+    v.add_argument("out")
+    v.add_argument("--trees", type=int, default=400)
+    v = verbs.add_parser("predict", help="a signal and a bundle to scores and event intervals; offline unless --causal")
+    v.add_argument("signal")
+    v.add_argument("bundle")
+    v.add_argument("out")
+    v.add_argument("--causal", action="store_true")
+    v.add_argument("--threshold", type=float)
+    v.add_argument("--no-postprocess", action="store_true")
+    verbs.add_parser("train", help="networks are trained outside; an exported one is scored by kinetrace.models.onnx")
     v = verbs.add_parser("make-splits")
     v.add_argument("sessions")
     v.add_argument("out")
@@ -53,14 +81,42 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "check-env":
         print(json.dumps({"python": platform.python_version(), "spark": spark.version, "cores": spark.sparkContext.defaultParallelism}))
     elif a.verb == "check-data":
-        d = sinks.read_table(spark, a.annotations)
-        rows = reports.verify([reports.check("duplicate_event_id", "error", reports.duplicates(d, ["event_id"])), reports.check("empty_interval", "error", d.filter("t_end_rel_ms <= t_start_rel_ms"))]).collect()
+        more = {k: sinks.read_table(spark, p) for k, p in (("sessions", a.sessions), ("caches", a.caches), ("folds", a.folds), ("numbers", a.features)) if p}
+        rows = reports.data_checks(sinks.read_table(spark, a.annotations), (*STATES, *EVENTS, *DEPRECATED), **more).collect()
         print(sinks.markdown([r.asDict() for r in rows]))
         return int(rows[0]["verdict"] == "FAIL")
     elif a.verb == "diagnose":
         d = sinks.read_table(spark, a.annotations)
-        for t in (reports.annotation_audit(d, "code", "cow_id", "session_id", "t_start_rel_ms", "t_end_rel_ms", 0.001), reports.balance(d, "cow_id")):
-            print(sinks.markdown([r.asDict() for r in t.collect()]))
+        tables = {"annotations": reports.annotation_audit(d, "code", "cow_id", "session_id", "t_start_rel_ms", "t_end_rel_ms", 0.001), "balance": reports.balance(d, "cow_id")}
+        found = {k: [r.asDict() for r in t.collect()] for k, t in tables.items()}
+        print("\n\n".join(f"## {k}\n\n{sinks.markdown(rows)}" for k, rows in found.items()))
+        if a.out:
+            sinks.write_json(spark, found, f"{a.out}/diagnostics")
+    elif a.verb == "build-cache":
+        raw = recordings.read_json(spark, a.recordings).withColumn("cache_key", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+        marks = sinks.read_table(spark, a.annotations).withColumnsRenamed({"session_id": "cache_key", "t_start_rel_ms": "start_t", "t_end_rel_ms": "end_t"})
+        manifest = sinks.read_table(spark, a.calibration).withColumnRenamed("session_id", "cache_key")
+        seen = sinks.read_table(spark, a.coverage).withColumnsRenamed({"session_id": "cache_key", "t_start_rel_ms": "start_t", "t_end_rel_ms": "end_t"}) if a.coverage else None
+        done = cache.build_cache(raw, marks, manifest, seen, a.tail_policy)
+        done.write(a.out)
+        print(json.dumps(done.summary.first().asDict(), default=str))
+    elif a.verb == "train-gbdt":
+        told = sinks.read_json(spark, f"{a.features.rstrip('/')}.manifest")
+        rows = sinks.read_table(spark, a.features).join(sinks.read_table(spark, a.labels), ["cache_key", "segment_id", "center_index"])
+        columns = features.names(told["feature_version"])
+        tasks, summary = training.train_tasks(rows, "cow_id", columns, boosting.Settings(trees=a.trees), told["feature_version"])
+        training.save_bundle(spark, tasks, summary, a.out)
+        print(json.dumps({k: summary[k] for k in ("trained", "skipped", "thresholds")}))
+    elif a.verb == "predict":
+        tasks, summary = training.load_bundle(spark, a.bundle)
+        d = sinks.read_table(spark, a.signal)
+        about = d.groupBy("cache_key", "segment_id").agg(*[F.first(c).alias(c) if c in d.columns else F.lit("").alias(c) for c in ("cow_id", "device_mac", "session_id")], F.min("t_ms").alias("_t"), F.min("frame_index").alias("_i"))
+        made = features.build(d, causal=a.causal, version=summary["feature_version"]).join(about, ["cache_key", "segment_id"])
+        made = made.withColumn("center_time_ms", recordings.frame_time(F.col("_t"), F.col("center_index"), F.col("_i"))).drop("_t", "_i")
+        prediction.run(made, tasks, a.out, a.threshold, not a.no_postprocess, {"causal": a.causal, "feature_version": summary["feature_version"]})
+    elif a.verb == "train":
+        print("networks are trained outside; export one and score it with kinetrace.models.onnx", file=sys.stderr)
+        return 2
     elif a.verb == "make-splits":
         d = sinks.read_table(spark, a.sessions)
         d = d.filter("status = 'included'") if "status" in d.columns else d
@@ -69,7 +125,7 @@ def main(argv: list[str] | None = None) -> int:
         d = sinks.read_table(spark, a.signal)
         sinks.write_table(features.build(d, causal=not a.offline, version=a.version), a.out, {"causal": not a.offline, "feature_version": a.version})
     elif a.verb == "mine":
-        d = spark.read.parquet(*a.predictions)
+        d = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [sinks.read_table(spark, p) for p in a.predictions])
         rate = RATE_PER_HOUR.get(a.event)
         queue = mining.review_queue(d.withColumnRenamed("center_time_ms", "t"), ["device_mac", "session_id"], "cow_id", "t", f"prob_{a.event}", a.budget, rate)
         sinks.write_table(mining.numbered(queue, ["selection_strategy", "device_mac", "session_id", "start_t"]), a.out, {"event": a.event, "budget": a.budget}, "csv")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = Sequence[Column]
@@ -86,3 +86,29 @@ def simplex(n: int, steps: int = 10) -> list[tuple[float, ...]]:
     for _ in range(n - 1):
         out = [(*t, k) for t in out for k in range(steps - sum(t) + 1)]
     return [tuple(x / steps for x in t) + ((steps - sum(t)) / steps,) for t in out]
+
+
+def random_rotation(seed: int, yaw: float = 180.0, tilt: float = 35.0) -> list[list[Column]]:
+    """A 3 x 3 rotation per row, Rz(yaw) Ry(pitch) Rx(roll), angles drawn evenly within their limits in degrees (2.9d)."""
+    a, b, c = (F.radians((F.rand(seed + k) * 2 - 1) * limit) for k, limit in enumerate((yaw, tilt, tilt)))
+    return euler(a, b, c)
+
+
+def euler(yaw: Column, pitch: Column, roll: Column) -> list[list[Column]]:
+    """Rz(yaw) Ry(pitch) Rx(roll)."""
+    (sa, ca), (sb, cb), (sc, cc) = ((F.sin(x), F.cos(x)) for x in (yaw, pitch, roll))
+    return [[ca * cb, ca * sb * sc - sa * cc, ca * sb * cc + sa * sc], [sa * cb, sa * sb * sc + ca * cc, sa * sb * cc - ca * sc], [-sb, cb * sc, cb * cc]]
+
+
+def augmented(df: DataFrame, group: list[str], channels: list[list[str]], seed: int, scale: float = 0.03, noise: dict[str, float] | None = None) -> DataFrame:
+    """Training copies of a signal: each group is turned by one rotation and scaled within 1 +- scale, each value gets its
+    channel's normal noise (2.9e). ``channels`` are triples of axes. The group's draw is made once per group and joined.
+    """
+    turn = random_rotation(seed)
+    draws = df.select(*group).distinct().select(*group, (1 + (F.rand(seed + 7) * 2 - 1) * scale).alias("_k"), *[x.alias(f"_r{i}{j}") for i, row in enumerate(turn) for j, x in enumerate(row)])
+    d = df.join(draws, group)
+    turned = {}
+    for triple in channels:
+        for i, name in enumerate(triple):
+            turned[name] = F.col("_k") * sum((F.col(f"_r{i}{j}") * F.col(c) for j, c in enumerate(triple)), F.lit(0.0)) + F.randn(seed + 11 + len(turned)) * (noise or {}).get(name, 0.0)
+    return d.withColumns(turned).drop("_k", *[f"_r{i}{j}" for i in range(3) for j in range(3)])

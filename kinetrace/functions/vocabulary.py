@@ -14,6 +14,10 @@ MERGE_GAP_MS = {"STANDING_UP": 2000, "LYING_DOWN": 2000, "MOUNTING": 2000, "MOUN
 MIN_LENGTH_MS = {"STANDING_UP": 1000, "LYING_DOWN": 1000, "MOUNTING": 1000, "MOUNTED_BY": 1000, "URINATION": 4000, "DEFECATION": 3000, "TAIL_RAISED": 2000, "TAIL_WAGGING": 1000}
 LEAST_EVENTS, LEAST_ANIMALS = 10, 3
 RING_POSITIONS = ("root", "mid", "tip", "unknown")
+NAMES = {
+    "STANDING": ("standing", "站立"), "LYING": ("lying", "躺卧"), "WALKING": ("walking", "行走"), "FEEDING": ("feeding", "采食"), "STANDING_UP": ("standing up", "起立"), "LYING_DOWN": ("lying down", "卧下"), "URINATION": ("urination", "排尿"),
+    "DEFECATION": ("defecation", "排便"), "TAIL_RAISED": ("tail raised", "抬尾"), "MOUNTING": ("mounting", "爬跨"), "MOUNTED_BY": ("mounted by another", "被爬跨"), "TAIL_WAGGING": ("tail wagging", "甩尾"),
+}
 STEP_MS, SAMPLE_MS, RATE_HZ = 500, 20, 50
 
 
@@ -23,6 +27,11 @@ def events_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, place int, trained boolean, rate_per_hour double, merge_gap_ms long, min_length_ms long")
 
 
+def names_table(spark: SparkSession) -> DataFrame:
+    """code, name_en, name_zh of every state and event: a lookup to broadcast."""
+    return spark.createDataFrame([(c, *n) for c, n in NAMES.items()], "code string, name_en string, name_zh string")
+
+
 def posture(body: Column) -> Column:
     """Body class to posture: lying is 1, the other states 0, unlabelled -1."""
     return F.when(body < 0, F.lit(-1)).when(body == 1, F.lit(1)).otherwise(F.lit(0))

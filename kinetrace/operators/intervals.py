@@ -162,3 +162,12 @@ def assemble_events(points: DataFrame, by: list[str], time: str, score: str, hig
         raw = raw.withColumn("_i", F.row_number().over(over(by, ["start_t"])))
         raw = snap(raw, boundary, by, ["_i"], time, "boundary", reach, boundary_cut, step, width).drop("_i")
     return merge_and_drop(raw, by, merge_gap, least)
+
+
+def owning_segment(points: DataFrame, segments: DataFrame, by: list[str], time: str, start: str, end: str, width: int, strict: bool = True) -> DataFrame:
+    """Points with the segment that holds them (J05). A point outside every segment raises, or with ``strict=False`` is left out."""
+    if not strict:
+        return points_in(points, segments, by, time, start, end, width)
+    marked = points_in(points.select(*by, time).distinct(), segments, by, time, start, end, width)
+    inside = F.when(F.col(start).isNull(), F.raise_error(F.lit("a point lies outside every segment")).cast("long")).otherwise(F.col(start))
+    return points.join(marked, [*by, time], "left").withColumn(start, inside)

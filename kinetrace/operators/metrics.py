@@ -129,20 +129,21 @@ def draw(seed: int, resample: Column, place: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n)
 
 
-def bootstrap(groups: DataFrame, value: str, resamples: int = 1000, confidence: float = 0.95, seed: int = 20260819) -> DataFrame:
-    """Interval of the mean by resampling groups, one row each (``groups`` has one row per animal).
+def bootstrap(groups: DataFrame, value: str, resamples: int = 1000, confidence: float = 0.95, seed: int = 20260819, statistic: str = "mean") -> DataFrame:
+    """Interval of the mean or the median by resampling groups, one row each (``groups`` has one row per animal).
 
     Every resample draws as many groups as there are; one group gives no bounds.
     """
     spark = groups.sparkSession
     rows = groups.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(F.col("entity"))) - 1).cast("long").alias("i"))
     n = rows.count()
-    point = rows.agg(F.avg("v").alias("point"))
+    of = {"mean": F.avg("v"), "median": F.percentile("v", F.lit(0.5))}[statistic]
+    point = rows.agg(of.alias("point"))
     if n < 2:
         return point.select("point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(n).cast("long").alias("groups"))
     slots = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     picks = slots.select("r", draw(seed, F.col("r"), F.col("j"), F.lit(n)).alias("i")).join(rows, "i")
-    means = picks.groupBy("r").agg(F.avg("v").alias("m"))
+    means = picks.groupBy("r").agg(of.alias("m"))
     a = (1 - confidence) / 2
     out = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
     return point.join(F.broadcast(out), F.lit(True)).withColumn("groups", F.lit(n).cast("long"))

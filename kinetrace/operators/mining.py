@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .intervals import peaks
 from .splits import shuffled
 
@@ -47,6 +48,7 @@ def review_queue(
     tie = [*session, "start_t"]
     if rate is not None:
         found = capped(found, [cow, *session], "max_score", daily_cap(F.lit(rate)), tie)
+    found = written(found, "review-candidates")  # five stages read it
     n_top, n_edge = round(budget * top_share), round(budget * boundary_share)
     n_diverse, n_random = max(0, budget - n_top - n_edge), round(budget * random_share)
     top = found.orderBy(F.col("max_score").desc(), *tie).limit(n_top)

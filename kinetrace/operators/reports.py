@@ -107,3 +107,34 @@ def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by the order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order]))).filter("_r = 1").drop("_r")
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys on one side only, with the side: sessions without a cache, caches without a session."""
+    there = a.select(*key).distinct().withColumn("_a", F.lit(True)).join(b.select(*key).distinct().withColumn("_b", F.lit(True)), key, "full")
+    return there.filter("_a IS NULL OR _b IS NULL").select(*key, F.when(F.col("_a").isNull(), "right_only").otherwise("left_only").alias("side"))
+
+
+def data_checks(annotations: DataFrame, codes: tuple[str, ...], sessions: DataFrame | None = None, caches: DataFrame | None = None, folds: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """The seven checks of a data set, as far as their tables are given (A35): duplicate ids, intervals without length,
+    unknown codes, missing columns, sessions against caches, leaks between roles of a fold, values that are not finite.
+    """
+    needed = ("event_id", "code", "t_start_rel_ms", "t_end_rel_ms", "cow_id", "session_id")
+    spark = annotations.sparkSession
+    lost = missing_columns(annotations, list(needed))
+    checks = [check("missing_columns", "error", spark.createDataFrame([(c,) for c in lost], "name string"))]
+    has = lambda *c: not set(c) & set(lost)
+    if has("event_id"):
+        checks.append(check("duplicate_event_id", "error", duplicates(annotations, ["event_id"])))
+    if has("t_start_rel_ms", "t_end_rel_ms"):
+        checks.append(check("empty_interval", "error", annotations.filter("t_end_rel_ms <= t_start_rel_ms")))
+    if has("code"):
+        checks.append(check("unknown_code", "warning", annotations.filter(~F.col("code").isin(*codes))))
+    if sessions is not None and caches is not None:
+        checks.append(check("sessions_without_cache", "error", unmatched(sessions, caches, ["cache_key"])))
+    if folds is not None:
+        checks.append(check("leak_between_roles", "error", folds.groupBy("fold", "cow_id").agg(F.countDistinct("role").alias("roles")).filter("roles > 1")))
+    if numbers is not None:
+        columns = [c for c, kind in numbers.dtypes if kind in ("float", "double")]
+        checks.append(check("not_finite", "error", numbers.filter(reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in columns], F.lit(False)))))
+    return verify(checks)

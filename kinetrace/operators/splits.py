@@ -44,3 +44,21 @@ def holdout(groups: DataFrame, cow: str, share: float = 0.2, seed: int = 2026081
 def leaks(assigned: DataFrame, fold: str, unit: str, role: str) -> DataFrame:
     """Units with more than one role in a fold."""
     return assigned.groupBy(fold, unit).agg(F.countDistinct(role).alias("roles")).filter("roles > 1")
+
+
+def fold_rows(rows: DataFrame, folds: DataFrame, fold: int, role: str, cow: str) -> DataFrame:
+    """Rows of the animals that have a role in a fold (J17); no such animal raises."""
+    own = folds.filter((F.col("fold") == fold) & (F.col("role") == role)).select(cow)
+    if own.isEmpty():
+        raise ValueError(f"fold {fold} has no {role} animals")
+    return rows.join(own, cow, "left_semi")
+
+
+def fold_sessions(folds: DataFrame, sessions: DataFrame, cow: str, session: str) -> DataFrame:
+    """Per fold and role the sorted set of its animals' sessions."""
+    return folds.join(sessions.select(cow, session).distinct(), cow).groupBy("fold", "role").agg(F.array_sort(F.collect_set(session)).alias("sessions"))
+
+
+def onto_rows(rows: DataFrame, predictions: DataFrame, key: str = "row_id") -> DataFrame:
+    """Predictions back on their rows by row id, the last of a repeated one first dropped by the caller (J16); rows without one keep nulls."""
+    return rows.join(predictions, key, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import daily, metrics
+from ..operators import daily, evaluation, metrics
 from ..operators import intervals as iv
 from ..operators import timeline as tl
 from ..sources.tables import POINTS, points, table
@@ -108,6 +108,16 @@ def bootstrap_ci(spark, sf):
     return metrics.bootstrap(g, "v").select(*[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "groups")
 
 
+@query("bootstrap_median", f"""
+WITH {POINTS}, g AS (SELECT entity, avg(score) AS v FROM p GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY entity) - 1 AS i, count(*) OVER () AS n FROM g),
+d AS (SELECT a.range AS r, ('0x' || md5('20260819:' || a.range || ':' || b.range)[1:12])::BIGINT % (SELECT max(n) FROM r) AS i FROM range(1000) a, range((SELECT max(n) FROM r)) b),
+m AS (SELECT d.r, quantile_cont(v, 0.5) AS m FROM d JOIN r USING (i) GROUP BY 1)
+SELECT round((SELECT quantile_cont(v, 0.5) FROM g), 9) AS point, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, (SELECT count(*) FROM g) AS groups FROM m""")
+def bootstrap_median(spark, sf):
+    g = points(spark, sf).groupBy("entity").agg(F.avg("score").alias("v"))
+    return metrics.bootstrap(g, "v", statistic="median").select(*[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "groups")
+
+
 @query("selection_score", f"""
 WITH {CURVE}, v AS (SELECT (SELECT avg(ap) FROM ap) AS events, (SELECT ap FROM ap WHERE code = 'error') AS walking, 0.75::DOUBLE AS posture)
 SELECT round((0.5 * posture + 0.3 * coalesce(walking, 0) + 0.2 * coalesce(events, 0)) / (0.5 + CASE WHEN walking IS NULL THEN 0 ELSE 0.3 END + CASE WHEN events IS NULL THEN 0 ELSE 0.2 END), 9) AS selection_score FROM v""")
@@ -155,11 +165,11 @@ def tiou_match_f1(spark, sf):
     truth, pred = truth_and_prediction(spark, sf)
     counts = truth.agg(F.count(F.lit(1)).alias("truth")).join(F.broadcast(pred.agg(F.count(F.lit(1)).alias("pred"))), F.lit(True))
 
-    def at(least):
-        m = iv.iou_matches(truth, pred, ["entity"], least, DAYS).agg(F.count(F.lit(1)).alias("tp"))
-        return m.join(F.broadcast(counts), F.lit(True)).select(F.lit(least).alias("tiou"), "tp", "truth", "pred", F.round(metrics.f1_of(F.col("tp"), F.col("truth"), F.col("pred")), 9).alias("f1"))
-
-    return at(0.1).union(at(0.25)).union(at(0.5))
+    # a greedy match by falling IoU is, for a higher limit, the part of it that reaches the limit: matched once
+    m = iv.iou_matches(truth, pred, ["entity"], 0.1, DAYS).select("entity", F.col("t").alias("ti"), F.col("p").alias("pi")).join(truth, ["entity", "ti"]).join(pred, ["entity", "pi"])
+    reached = iv.iou(F.col("ts"), F.col("te"), F.col("ps"), F.col("pe"))
+    hits = m.agg(*[F.count_if(reached >= x).alias(f"n{x}") for x in (0.1, 0.25, 0.5)]).select(F.explode(F.array(*[F.struct(F.lit(x).alias("tiou"), F.col(f"`n{x}`").alias("tp")) for x in (0.1, 0.25, 0.5)])).alias("h")).select("h.*")
+    return hits.join(F.broadcast(counts), F.lit(True)).select("tiou", "tp", "truth", "pred", F.round(metrics.f1_of(F.col("tp"), F.col("truth"), F.col("pred")), 9).alias("f1"))
 
 
 @query("event_level_metrics", matching_sql("least(te + 25, pe) - greatest(ts - 25, ps) > 0", "least(te + 25, pe) - greatest(ts - 25, ps) DESC, ti DESC, pi DESC") + """,
@@ -169,13 +179,10 @@ UNION ALL SELECT NULL, sum(truth)::BIGINT, sum(pred)::BIGINT, sum(hits)::BIGINT,
 def event_level_metrics(spark, sf):
     """Per animal, then pooled with its evidence gate."""
     truth, pred = truth_and_prediction(spark, sf)
-    hits = iv.tolerance_matches(truth, pred, ["entity"], 25, DAYS).groupBy("entity").agg(F.count(F.lit(1)).alias("hits"))
-    t, p = truth.groupBy("entity").agg(F.count(F.lit(1)).alias("truth")), pred.groupBy("entity").agg(F.count(F.lit(1)).alias("pred"))
-    e = t.join(p, "entity", "full").join(hits, "entity", "left").select("entity", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("truth", "pred", "hits")])
+    counts = evaluation.session_counts(truth, pred, ["entity"], iv.tolerance_matches(truth, pred, ["entity"], 25, DAYS))
     rates = lambda d: d.withColumn("recall", F.round(metrics.ratio(F.col("hits"), F.col("truth")), 9)).withColumn("precision", F.round(metrics.ratio(F.col("hits"), F.col("pred")), 9))
-    cows = rates(e).withColumn("level", F.lit("per_cow")).withColumn("evidence_level", F.lit(None).cast("string"))
-    pooled = rates(e.agg(F.sum("truth").alias("truth"), F.sum("pred").alias("pred"), F.sum("hits").alias("hits"), F.count_if(F.col("truth") > 0).alias("animals")))
-    pooled = pooled.withColumn("level", F.lit("pooled")).withColumn("evidence_level", metrics.evidence(F.col("truth"), F.col("animals"))).withColumn("entity", F.lit(None).cast("long"))
+    cows = rates(counts).withColumn("level", F.lit("per_cow")).withColumn("evidence_level", F.lit(None).cast("string"))
+    pooled = rates(evaluation.pooled_counts(counts, "entity")).withColumn("level", F.lit("pooled")).withColumn("evidence_level", metrics.evidence(F.col("truth"), F.col("animals"))).withColumn("entity", F.lit(None).cast("long"))
     return cows.unionByName(pooled.drop("animals"))
 
 

@@ -77,7 +77,7 @@ def payloads(spark, sf):
 @query("decode_frames", f"WITH {SAMPLES}, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY k0, k1, k2, k3, y) AS i FROM s) SELECT entity, i * 20 AS elapsed_ms, x::INT AS acc_x, -x::INT AS acc_y, (x * 100)::INT AS acc_z, (x * 7 - 200)::INT AS gyro_x, k2 AS gyro_y, -k2 AS gyro_z, i % 300 AS mag_raw_x, i % 7 AS mag_raw_y, 0 AS mag_raw_z FROM i")
 def decode_frames(spark, sf):
     frames, _ = recordings.decode_frames(payloads(spark, sf), "entity")
-    return frames
+    return frames.drop("place")
 
 
 @query("decode_diagnostics", "SELECT l_suppkey AS entity, 3 AS frame_offset, 3 AS dropped_prefix, 0 AS dropped_trailing, 1.0::DOUBLE AS score, count(*) AS frames, NULL AS error FROM lineitem GROUP BY 1 HAVING count(*) >= 10 UNION ALL SELECT l_suppkey, NULL, NULL, NULL, NULL, 0, 'payload too short' FROM lineitem GROUP BY 1 HAVING count(*) < 10")

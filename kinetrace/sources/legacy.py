@@ -10,6 +10,13 @@ from .recordings import RAW_CHANNELS
 CHANNEL_MODES = {"raw9": RAW_CHANNELS, "accgyro6": RAW_CHANNELS[:6]}
 
 
+def channels(signal: DataFrame, mode: str = "raw9") -> DataFrame:
+    """The signal with the channels of a mode only."""
+    if mode not in CHANNEL_MODES:
+        raise ValueError(f"unknown channel mode {mode}")
+    return signal.select(*[c for c in signal.columns if c not in RAW_CHANNELS or c in CHANNEL_MODES[mode]])
+
+
 def checked_key(key: str) -> str:
     """A cache key that stays inside its folder."""
     if not key or key in (".", "..") or any(c in key for c in "/\\\0"):

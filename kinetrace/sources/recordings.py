@@ -67,7 +67,7 @@ DIAGNOSTICS = "frame_offset int, dropped_prefix int, dropped_trailing int, score
 
 
 def decode_frames(df: DataFrame, key: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(frames, diagnostics): one row per frame with elapsed_ms and raw channels; one row per payload."""
+    """(frames, diagnostics): one row per frame with its place, elapsed_ms and raw channels; one row per payload."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, payload)
 
@@ -78,7 +78,7 @@ def decode_frames(df: DataFrame, key: str, payload: str = "payload") -> tuple[Da
             for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 d = decode(p)
                 if d["ms"] is not None and len(d["ms"]):
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(d["ms"]), batch.schema.field(0).type), pa.array(d["ms"]), *[pa.array(np.ascontiguousarray(d["values"][:, i])) for i in range(9)]], names=[key, "elapsed_ms", *RAW_CHANNELS])
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(d["ms"]), batch.schema.field(0).type), pa.array(np.arange(len(d["ms"]))), pa.array(d["ms"]), *[pa.array(np.ascontiguousarray(d["values"][:, i])) for i in range(9)]], names=[key, "place", "elapsed_ms", *RAW_CHANNELS])
 
     def notes(batches):
         import pyarrow as pa
@@ -88,7 +88,7 @@ def decode_frames(df: DataFrame, key: str, payload: str = "payload") -> tuple[Da
             cols = [pa.array([d[c] for d in found], t) for c, t in (("frame_offset", pa.int32()), ("dropped_prefix", pa.int32()), ("dropped_trailing", pa.int32()), ("score", pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([0 if d["ms"] is None else len(d["ms"]) for d in found], pa.int64()), pa.array([d["error"] for d in found], pa.string())], names=[key, "frame_offset", "dropped_prefix", "dropped_trailing", "score", "frames", "error"])
 
-    return rows.mapInArrow(frames, f"{key} {kind}, elapsed_ms long, " + ", ".join(f"{c} short" for c in RAW_CHANNELS)), rows.mapInArrow(notes, f"{key} {kind}, {DIAGNOSTICS}")
+    return rows.mapInArrow(frames, f"{key} {kind}, place long, elapsed_ms long, " + ", ".join(f"{c} short" for c in RAW_CHANNELS)), rows.mapInArrow(notes, f"{key} {kind}, {DIAGNOSTICS}")
 
 
 def packed(ms: Column, values: list[Column]) -> Column:

@@ -27,6 +27,30 @@ def daily_counts(stream: DataFrame, by: list[str], time: str, late: str, **flags
     return d.select(*by, F.col("w.start").cast("date").alias("day"), "steps", *flags)
 
 
+def sliding_mean(stream: DataFrame, entity: str, time: str, value: str, rows: int) -> DataFrame:
+    """Mean of the last ``rows`` values up to each point, the last ones held per animal between micro-batches (2.10).
+
+    Rows of a micro-batch are put in order of time, then value; rows older than the last one seen are dropped.
+    """
+
+    def step(key, frames: Iterator, held: GroupState) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        last, ring = (held.get[0], list(held.get[1])) if held.exists else (None, [])
+        new = pd.concat(list(frames)).sort_values([time, value], kind="stable")
+        new = new[new[time] >= last] if last is not None else new
+        if len(new):
+            joined = np.array([*ring, *new[value]])
+            sums, stop = np.concatenate([[0.0], np.cumsum(joined)]), np.arange(len(ring) + 1, len(joined) + 1)
+            first = np.maximum(stop - rows, 0)
+            held.update((int(new[time].iloc[-1]), joined[-(rows - 1) :].tolist() if rows > 1 else []))
+            yield pd.DataFrame({entity: key[0], time: new[time], "mean": (sums[stop] - sums[first]) / (stop - first), "points": stop - first})
+
+    cols = stream.select(entity, time, value)
+    return cols.groupBy(entity).applyInPandasWithState(step, f"{entity} long, {time} long, mean double, points long", "last long, ring array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def state_machine(stream: DataFrame, entity: str, time: str, machine: Machine = Machine()) -> DataFrame:
     """Confirmed posture per point, the run's state kept between micro-batches (streaming form of W24).
 
