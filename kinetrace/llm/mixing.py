@@ -21,9 +21,9 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the key and the seed only: 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(key: Column, tie: Column, seed: int) -> Column:
+    """A number in (0, 1) that depends on the key and the seed only, without a key on ``tie``: 52 bits of an MD5 digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("null:"), tie.cast("string")))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / 4503599627370496.0
 
 
@@ -54,8 +54,8 @@ def mix(
 
     ``weights`` go to the sources in code-point order, null last, and repeat. ``quality`` makes the inclusion
     unequal within a source: the expected copies of a document are the source's rate times its quality over the
-    source's mean, at most ``most``. Null text has size 0 and is never sampled. Rows that repeat a key draw the same
-    number and are ranked by size, then text; equal rows are interchangeable. Equal inputs give equal results on any
+    source's mean, at most ``most``. Null text has size 0 and is never sampled. Rows without a key draw by their
+    text; rows that repeat a key draw the same number and are ranked by size, then text; equal rows are interchangeable. Equal inputs give equal results on any
     number of partitions. An empty table gives an empty result; extra columns are ignored.
     """
     t = text_of(df, text)
@@ -71,7 +71,7 @@ def mix(
         expect = F.least(F.col("rate") * F.col("q"), F.lit(most))
         rows = rows.join(small(goals), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         rows = rows.withColumn("sure", F.floor(expect).cast("long")).withColumn("p", expect - F.floor(expect))
-        u = uniform(F.col("id"), seed)
+        u = uniform(F.col("id"), F.col("tie"), seed)
         odds = (u / (1 - u)) / F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("p") / (1 - F.col("p")))
         return rows.withColumn("rank", odds).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
 

@@ -155,24 +155,59 @@ def test_many_rules_equal_trying_all(spark):
         assert r.verdict == ("allow" if not fit else "block" if max(fit)[1] else "allow")
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a plain version on what its predecessor kept; null keys, null texts and repeated rows among them."""
     import corpus_pipeline
-    from tests.llm.test_text_ops import plain_components, plain_fingerprint, plain_quality
-
-    texts = [" ".join(f"{w}{i % 90}" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu")) for i in range(300)] + ["short text", None]
-    d = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    from kinetrace.llm import mixing, tokens
+    from tests.llm.test_text_ops import plain_quality
+
+    words = ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu", "nu", "xi", "pi", "rho")
+    texts = [" ".join(f"{w}{i % 90}x{k}" for k in range(4) for w in words) for i in range(200)]
+    near = [texts[i].replace("mu", "changed", 1) for i in range(5)]  # five of 60 shingles change: 0.85
+    rows = [*enumerate([*texts, *near, "short text", None, ""]), (None, texts[3]), (None, "a null key of its own " + " ".join(map(str, range(90)))), (7, texts[7])]
+    d = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if i != 4 else None, len(t or "")) for i, t in rows], DOCUMENTS)
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    docs, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == d.columns, name
-        docs = docs.cache()
-        sizes.append(docs.count())
-    good = {i: t for i, t in enumerate(texts) if not plain_quality(t)[5]}
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == d.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(docs.collect())
+    good = [(i, t) for i, t in rows if not plain_quality(t)[5]]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept[0]))) == sorted(map(str, good))
     first = {}
-    for i, t in good.items():
-        first.setdefault(t, i)
-    prints = {i: plain_fingerprint(t) for t, i in first.items()}
-    assert sizes[:3] == [len(good), len(first), len(set(plain_components(prints).values()))]
-    pieces = corpus_pipeline.run(spark, str(tmp_path))
-    assert pieces.agg(F.countDistinct("doc_id")).first()[0] <= sizes[2] and pieces.count() > 0
+    for i, t in good:
+        first.setdefault(t, []).append(i)
+    assert sorted(r.text for r in kept[1]) == sorted(first)
+    assert all(r.doc_id == min((i for i in first[r.text] if i is not None), default=None) for r in kept[1])
+    assert sorted(r.text for r in kept[2]) == sorted(t for t in first if t not in near)
+    taken = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(str(tmp_path / "simhash_near_dedup"))).collect()}
+    assert sorted(str(r.doc_id) for r in kept[3]) == sorted(str(i) for i, n in taken.items() for _ in range(n))
+    encode, want, got = tokens.encoder(tokens.default_tokenizer()), {}, {}
+    for r in kept[3]:
+        want.setdefault(r.doc_id, []).append(len(encode(r.text)) // 4 + 1)
+    used = {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert got == {i: sum(n) for i, n in want.items()} and max(used.values()) <= 1024
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_pages(spark):
+    """Null and repeated rows, a very long URL and columns named like the operator's own."""
+    long = "http://h.example/" + "ads/" * 20_000
+    d = spark.createDataFrame([(None, None), (None, None), (1, long), (1, long)], "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "tokens")})
+    got = urls.judge(d).collect()
+    assert sorted((r.page_id is None, r.verdict) for r in got) == [(False, "block")] * 2 + [(True, "allow")] * 2
