@@ -121,7 +121,7 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limit
 
 
 def keep_good(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The input without rejected rows; same columns."""
+    """The input without rejected rows; same columns. Null text has no words and goes; rows that repeat are judged alike; null keys don't matter."""
 
     @F.pandas_udf("boolean")
     def good(texts):

@@ -12,6 +12,7 @@ by their own distance. Pivot distances can narrow a search but not deal it over
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -58,6 +59,14 @@ def fingerprint(hashes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+@cache
+def _draws():
+    """Odd multipliers of the bands, and for each round the bin that every empty bin asks; the same in every worker."""
+    import numpy as np
+
+    return np.random.default_rng(11).integers(0, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1), np.random.default_rng(13).integers(0, SKETCH, (256, SKETCH))
+
+
 def sketch(hashes):
     """Of a set of hashes: BANDS band keys, and SKETCH 4-bit values, each of the smallest hash of a bin (empty bins borrow).
 
@@ -66,24 +75,30 @@ def sketch(hashes):
     import numpy as np
 
     h = np.unique(hashes.astype("u8")) if len(hashes) else np.zeros(1, "u8")
-    odd = np.random.default_rng(11).integers(0, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+    odd, lenders = _draws()
     with np.errstate(over="ignore"):
         spread = h ^ (h >> np.uint64(29))
         least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
         for i in range(0, len(h), 1 << 14):
-            least = np.minimum(least, (spread[i : i + (1 << 14), None] * odd).min(0))
+            least = np.minimum(least, np.multiply.outer(odd, spread[i : i + (1 << 14)]).min(1))
         keys = np.zeros(BANDS, "u8")
         for k in range(ROWS):
             keys = (keys ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
             keys ^= keys >> np.uint64(32)
-    bins, first = np.unique(h >> np.uint64(64 - SKETCH.bit_length() + 1), return_index=True)
-    values, full = np.zeros(SKETCH, "u1"), np.zeros(SKETCH, bool)
-    values[bins.astype("i8")], full[bins.astype("i8")] = (h[first] & np.uint64(15)).astype("u1"), True
-    lend, empty = np.random.default_rng(13), np.nonzero(~full)[0]
-    while len(empty):  # the same bins ask the same lenders in every document
-        asked = lend.integers(0, SKETCH, SKETCH)[empty]
-        values[empty] = values[asked]
-        empty = empty[~full[asked]]
+    bins = (h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype("i8")  # ascending, as the hashes are
+    first = np.concatenate([[True], bins[1:] != bins[:-1]])
+    values = np.full(SKETCH, 255, "u1")
+    values[bins[first]] = (h[first] & np.uint64(15)).astype("u1")
+    full = values < 255
+    empty = np.nonzero(~full)[0]
+    for asked in lenders:
+        if not len(empty):
+            break
+        asked = asked[empty]
+        lent = full[asked]
+        values[empty[lent]] = values[asked[lent]]
+        empty = empty[~lent]
+    values[empty] = h[0] & np.uint64(15)  # of very small sets a few bins find no lender
     return keys.view("i8"), values[0::2] | values[1::2] << 4
 
 
