@@ -1,7 +1,12 @@
 """A training corpus in five stages, each written as Parquet and read again as the next one's documents.
 
 quality rules -> exact dedup -> SimHash near-dedup -> source mixing -> packing. All but the last return the columns
-of ``documents``; the mix repeats a document that it takes twice.
+of ``documents``; the mix repeats a document that it takes twice. Near-duplicates are texts whose sets of five-word
+shingles are alike from 0.8 on.
+
+Null texts fail the quality rules; null keys are kept as documents of their own, and of equal or alike texts a row with
+a key stays before one without. Rows that repeat count as copies. An empty table gives an empty result. Extra columns
+pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
