@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact, idstore, mixing, packing, pii, quality, simhash, urls, warc
+from . import chat, divergence, exact, idstore, licenses, mixing, packing, pii, quality, simhash, spelling, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -136,3 +136,27 @@ SQL["op10_repetition_rules"] = quality.reference_sql()
 @query
 def op2_pii_boosting(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_license_rules(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_license_rules"] = licenses.reference_sql()
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling_variants"] = spelling.reference_sql()
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = divergence.reference_sql()
