@@ -24,8 +24,6 @@ def dense_scores(features: DataFrame, tasks: list[Task], threshold: float | None
     held = {t.name: t.threshold for t in tasks}
     limits = {e: threshold if threshold is not None else held.get(e, 0.5) for e in EVENTS}
     d = predict(features, tasks)
-    if "prob_POSTURE_LYING" in d.columns:
-        d = d.withColumn("prob_posture_LYING", F.col("prob_POSTURE_LYING")).withColumn("prob_posture_UPRIGHT", 1 - F.col("prob_POSTURE_LYING"))
     d = d.withColumns({f"prob_{e}": F.lit(0.0) for e in EVENTS if f"prob_{e}" not in d.columns})
     return d.select(*SESSION, "center_index", "center_time_ms", "prob_posture_UPRIGHT", "prob_posture_LYING", "prob_WALKING", *[f"prob_{e}" for e in EVENTS]), limits
 

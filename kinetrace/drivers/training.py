@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import EVENTS
-from ..models.boosting import Settings, Task, feature_columns, train
+from ..models.boosting import POSTURE, Settings, Task, feature_columns, train
 from ..sources import sinks
 from ..sources.scratch import written
 
-TASKS = ("POSTURE_LYING", "WALKING", *EVENTS)
+TASKS = (POSTURE, "WALKING", *EVENTS)
 
 
 def targets(df: DataFrame) -> DataFrame:
     """Per task ``label_NAME`` and ``use_NAME`` of label rows with body_target, event_* and mask_*."""
     known = (F.col("body_target") >= 0).cast("int")
-    own = {"label_POSTURE_LYING": (F.col("body_target") == 1).cast("int"), "use_POSTURE_LYING": known, "label_WALKING": (F.col("body_target") == 2).cast("int"), "use_WALKING": known}
+    own = {f"label_{POSTURE}": (F.col("body_target") == 1).cast("int"), f"use_{POSTURE}": known, "label_WALKING": (F.col("body_target") == 2).cast("int"), "use_WALKING": known}
     return df.withColumns(own | {f"label_{e}": F.col(f"event_{e}") for e in EVENTS} | {f"use_{e}": F.col(f"mask_{e}") for e in EVENTS})
 
 

@@ -16,6 +16,8 @@ from ..functions.vocabulary import finite_or_zero
 from ..operators.metrics import choose_threshold
 from ..operators.splits import holdout
 
+#: The posture head; what is derived from it is named in ``predict`` and nowhere else.
+POSTURE = "posture_LYING"
 LEAST_ROWS, LEAST_POSITIVES, MOST_WEIGHT = 50, 3, 1000.0
 RESERVED = {"sample_id", "cache_key", "cow_id", "device_key", "device_mac", "session_id", "segment_id", "center_index", "center_time_ms", "body_target", "segment_start_index", "segment_stop_index"}
 
@@ -108,8 +110,8 @@ def predict(df: DataFrame, tasks: list[Task], overrides: dict[str, float] | None
     for t in tasks:
         df = t.score(df)
     names = {t.name for t in tasks}
-    df = df.withColumn("prob_posture_LYING", F.col("prob_posture_LYING") if "posture_LYING" in names else F.lit(0.5))
-    df = df.withColumn("prob_posture_UPRIGHT", 1 - F.col("prob_posture_LYING")).withColumn("prob_WALKING", F.col("prob_WALKING") if "WALKING" in names else F.lit(0.0))
+    absent = {f"prob_{h}": F.lit(v) for h, v in ((POSTURE, 0.5), ("WALKING", 0.0)) if h not in names}
+    df = df.withColumns(absent).withColumn("prob_posture_UPRIGHT", 1 - F.col(f"prob_{POSTURE}"))
     for k, v in (overrides or {}).items():
         if not 0 < v < 1:
             raise ValueError(f"threshold of {k} must lie in (0, 1)")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LEAST_ANIMALS, LEAST_EVENTS
+from .prefix import join_groups, quantiles, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -51,12 +52,11 @@ def multiclass(df: DataFrame, actual: str, predicted: str, classes: int, by: lis
 def curve(df: DataFrame, by: list[str], actual: str, score: str) -> DataFrame:
     """Per distinct score, descending: predicted so far, true so far, positives and rows in all.
 
-    Rows are grouped by score before any window, so that ties count once and windows see distinct scores only.
+    Rows are grouped by score first, so that ties count once; running counts are those of ``prefix``, so a group of any
+    number of distinct scores is spread over the tasks.
     """
-    steps = df.groupBy(*by, score).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return steps.select(*by, score, "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("called"), F.sum("pos").over(whole).alias("positives"), F.sum("n").over(whole).alias("rows"))
+    steps = df.groupBy(*by, score).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count(F.lit(1)).alias("_n"))
+    return running(steps, by, [F.col(score).desc()], {"tp": "pos", "called": "_n"}, {"positives": "pos", "rows": "_n"}).drop("_n")
 
 
 def average_precision(df: DataFrame, by: list[str], actual: str, score: str) -> DataFrame:
@@ -75,11 +75,11 @@ def choose_threshold(df: DataFrame, by: list[str], actual: str, score: str, beta
     c = curve(df, by, actual, score).filter((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
     p, r = F.col("tp") / F.col("called"), F.col("tp") / F.col("positives")
     c = c.withColumn("_f", F.when(b2 * p + r > 0, (1 + b2) * p * r / (b2 * p + r)).otherwise(0.0))
-    whole = Window.partitionBy(*by)
-    if most_positive is not None:
-        c = c.withColumn("_ok", F.col("called") / F.col("rows") <= most_positive).withColumn("_any", F.max("_ok").over(whole)).filter(F.col("_ok") | ~F.col("_any"))
-    c = c.withColumn("_best", F.max("_f").over(whole)).filter(F.col("_f") >= F.col("_best") - 1e-12)
-    best = c.groupBy(*by).agg(F.min_by(score, F.struct(F.abs(F.col(score) - 0.5), score)).alias("threshold"), F.max("_best").alias("best_f"))
+    within = F.col("called") / F.col("rows") <= (1.0 if most_positive is None else most_positive)
+    tops = c.groupBy(*by).agg(F.max("_f").alias("_all"), F.max(F.when(within, F.col("_f"))).alias("_bounded"))
+    tops = tops.select(*by, F.coalesce("_bounded", "_all").alias("best_f"), F.col("_bounded").isNotNull().alias("_bound"))
+    c = join_groups(c.withColumn("_ok", within), tops, by).filter((F.col("_ok") | ~F.col("_bound")) & (F.col("_f") >= F.col("best_f") - 1e-12))
+    best = c.groupBy(*by).agg(F.min_by(score, F.struct(F.abs(F.col(score) - 0.5), score)).alias("threshold"), F.max("best_f").alias("best_f"))
     groups = df.select(*by).distinct()
     return groups.join(best, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
 
@@ -113,8 +113,9 @@ def edit_score(df: DataFrame, a: str, b: str) -> Column:
 
 def localisation(df: DataFrame, by: list[str], delta: Column) -> DataFrame:
     """Median and linear 90th percentile of absolute onset differences."""
-    d = F.abs(delta)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("matched"), F.percentile(d, F.lit(0.5)).alias("median"), F.percentile(d, F.lit(0.9)).alias("p90"))
+    d = df.select(*by, F.abs(delta).alias("_d"))
+    counts, spread = d.groupBy(*by).agg(F.count(F.lit(1)).alias("matched")), quantiles(d, by, F.col("_d"), {"median": 0.5, "p90": 0.9})
+    return counts.join(spread, by, "left") if by else counts.join(F.broadcast(spread), F.lit(True))  # one row each
 
 
 def plausibility(count: Column, hours: Column, bound: Column) -> Column:
@@ -152,12 +153,10 @@ def bootstrap(groups: DataFrame, value: str, resamples: int = 1000, confidence:
 def day_level(df: DataFrame, truth: Column, alarm: Column, lead: Column, cow: str) -> DataFrame:
     """Sensitivity, specificity, PPV, lead-time quartiles of true alarms, false alarms per animal and week."""
     rows = df.select(truth.alias("t"), alarm.alias("a"), lead.alias("l"), F.col(cow).alias("c"))
-    hit = F.when(F.col("t") & F.col("a"), F.col("l"))
-    q = lambda p: F.percentile(hit, F.lit(p))
+    leads = quantiles(rows, [], F.when(F.col("t") & F.col("a"), F.col("l")), {"lead_median": 0.5, "lead_q25": 0.25, "lead_q75": 0.75})
     s = rows.agg(
         F.count(F.lit(1)).alias("cow_days"), F.count_if(F.col("t") & F.col("a")).alias("tp"), F.count_if(~F.col("t") & F.col("a")).alias("fp"), F.count_if(F.col("t") & ~F.col("a")).alias("fn"), F.count_if(~F.col("t") & ~F.col("a")).alias("tn"),
-        q(0.5).alias("lead_median"), q(0.25).alias("lead_q25"), q(0.75).alias("lead_q75"),
-    )
+    ).join(F.broadcast(leads), F.lit(True))
     weekly = rows.groupBy("c").agg((F.count_if(~F.col("t") & F.col("a")) / F.count(F.lit(1)) * 7.0).alias("w")).agg(F.avg("w").alias("false_alarms_per_cow_per_week"))
     s = s.withColumn("sensitivity", ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("specificity", ratio(F.col("tn"), F.col("tn") + F.col("fp"))).withColumn("ppv", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
     return s.join(F.broadcast(weekly), F.lit(True))

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LEAST_ANIMALS, LEAST_EVENTS
+from .prefix import join_groups, quantiles
 
 
 def annotation_audit(df: DataFrame, code: str, cow: str, session: str, start: str, end: str, to_seconds: float) -> DataFrame:
     """Per code: annotations, animals, sessions, seconds (mean, exact median, max), minutes."""
     s = (F.col(end) - F.col(start)) * to_seconds
-    return df.groupBy(code).agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct(cow).alias("animals"), F.countDistinct(session).alias("sessions"), F.avg(s).alias("mean_s"), F.percentile(s, F.lit(0.5)).alias("median_s"), F.max(s).alias("max_s"), (F.sum(s) / 60).alias("minutes"))
+    counts = df.groupBy(code).agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct(cow).alias("animals"), F.countDistinct(session).alias("sessions"), F.avg(s).alias("mean_s"), F.max(s).alias("max_s"), (F.sum(s) / 60).alias("minutes"))
+    return join_groups(counts, quantiles(df, [code], s, {"median_s": 0.5}), [code], "left")
 
 
 def evaluability(vocabulary: DataFrame, audit: DataFrame, code: str) -> DataFrame:
@@ -33,7 +35,9 @@ def balance(df: DataFrame, cow: str) -> DataFrame:
 
 def segments(bounds: DataFrame, seconds: Column) -> DataFrame:
     """Count, minimum, median, mean and maximum length of segments."""
-    return bounds.select(seconds.alias("s")).agg(F.count(F.lit(1)).alias("segments"), F.min("s").alias("min_s"), F.percentile("s", F.lit(0.5)).alias("median_s"), F.avg("s").alias("mean_s"), F.max("s").alias("max_s"))
+    rows = bounds.select(seconds.alias("s"))
+    counts = rows.agg(F.count(F.lit(1)).alias("segments"), F.min("s").alias("min_s"), F.avg("s").alias("mean_s"), F.max("s").alias("max_s"))
+    return join_groups(counts, quantiles(rows, [], F.col("s"), {"median_s": 0.5}), [])
 
 
 def segment_histogram(bounds: DataFrame, key: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..drivers import cache, prediction
+from ..models.boosting import POSTURE
 from ..operators import reports, splits, timeline
 from ..sources import recordings
 from ..sources.tables import SAMPLES, samples, table
@@ -125,6 +126,28 @@ def predicted_intervals(spark, sf):
     return found.select("cache_key", "event_code", "start_t", "end_t", "duration_s", "max_prob")
 
 
+class Ratio:
+    """A task whose score is an expression, so that SQL can tell what a prediction must give."""
+
+    def __init__(self, name, score, threshold):
+        self.name, self.column, self.threshold = name, score, threshold
+
+    def score(self, d):
+        return d.withColumn(f"prob_{self.name}", self.column)
+
+
+@query("predicted_scores", """
+WITH d AS (SELECT l_suppkey, l_orderkey, l_quantity / 50.0 AS lying, l_discount * 10 AS urination FROM lineitem)
+SELECT 's' || l_suppkey AS cache_key, l_orderkey AS center_index, round(lying, 9) AS lying, round(1 - lying, 9) AS upright, 0.0::DOUBLE AS walking, round(urination, 9) AS urination, 0.0::DOUBLE AS mounting, urination >= 0.4 AS urinates, lying >= 0.5 AS lies FROM d""")
+def predicted_scores(spark, sf):
+    """Dense scores of a posture and an event task: the posture head is the task's, the others have their defaults."""
+    d = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("cache_key"), F.col("l_suppkey").alias("cow_id"), F.lit("d").alias("device_mac"), F.lit("s").alias("session_id"), F.col("l_orderkey").alias("center_index"), F.lit(0).alias("center_time_ms"), "l_quantity", "l_discount")
+    tasks = [Ratio(POSTURE, F.col("l_quantity") / 50.0, 0.5), Ratio("URINATION", F.col("l_discount") * 10, 0.4)]
+    dense, limits = prediction.dense_scores(d, tasks)
+    r = lambda c: F.round(f"prob_{c}", 9)
+    return dense.select("cache_key", "center_index", r(POSTURE).alias("lying"), r("posture_UPRIGHT").alias("upright"), r("WALKING").alias("walking"), r("URINATION").alias("urination"), r("MOUNTING").alias("mounting"), (F.col("prob_URINATION") >= limits["URINATION"]).alias("urinates"), (F.col(f"prob_{POSTURE}") >= tasks[0].threshold).alias("lies"))
+
+
 @query("stream_sliding_mean", "WITH p AS (SELECT user_id AS entity, epoch_us(ts) // 1000 AS t, value / (value + 35.0) AS score FROM events) SELECT entity, t, round(avg(score) OVER w, 9) AS mean, count(*) OVER w AS points FROM p WINDOW w AS (PARTITION BY entity ORDER BY t ROWS 3 PRECEDING)")
 def stream_sliding_mean(spark, sf):
     """Trailing window of four rows, kept per animal between micro-batches (2.10)."""

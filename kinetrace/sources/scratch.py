@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: More rows, or more bytes of strings, than this are never broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -24,3 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether rows and the bytes of strings are within what may be broadcast; reads no more rows than that."""
+    weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0)).cast("long")
+    n, size = df.select(weight.alias("w")).limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return n <= most and size <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast only after it is counted; else a shuffle join that AQE splits."""
+    return F.broadcast(df) if is_small(df, most) else df

@@ -51,7 +51,7 @@ def test_train_predict_and_sinks(spark, tmp_path):
     kind = "cache_key string, cow_id string, device_mac string, session_id string, segment_id int, center_index long, center_time_ms long, f1 double, f2 double, body_target int, " + ", ".join(f"{c} int" for c in names)
     d = spark.createDataFrame(rows, kind)
     tasks, summary = training.train_tasks(d, features=["f1", "f2"], settings=boosting.Settings(trees=3, rate=0.5, depth=2, columns=1.0))
-    assert [t.name for t in tasks] == ["POSTURE_LYING", vocabulary.EVENTS[0]] and set(summary["skipped"]) == {"WALKING", *vocabulary.EVENTS[1:]}
+    assert [t.name for t in tasks] == [boosting.POSTURE, vocabulary.EVENTS[0]] and set(summary["skipped"]) == {"WALKING", *vocabulary.EVENTS[1:]}
     training.save_bundle(spark, tasks, summary, str(tmp_path / "bundle"))
     back, told = training.load_bundle(spark, str(tmp_path / "bundle"))
     assert told["thresholds"] == {t.name: t.threshold for t in back}
@@ -61,6 +61,11 @@ def test_train_predict_and_sinks(spark, tmp_path):
     assert high > 20 and found.filter(F.col("event_code") != vocabulary.EVENTS[0]).count() == 0 < found.count()
     assert found.filter(F.col("max_prob") < 0.5).count() == 0
     assert dense.filter(F.abs(F.col("prob_posture_LYING") + F.col("prob_posture_UPRIGHT") - 1) > 1e-9).count() == 0
+    own = back[0].score(d).select("cache_key", "center_index", F.col(f"prob_{boosting.POSTURE}").alias("p"))
+    assert own.join(dense, ["cache_key", "center_index"]).filter(F.abs(F.col("p") - F.col("prob_posture_LYING")) < 1e-12).count() == len(rows)
+    assert dense.filter("prob_posture_LYING > 0.6").count() > 100 < dense.filter("prob_posture_UPRIGHT > 0.6").count()
+    alone = prediction.dense_scores(d, back[1:])[0].first()
+    assert (alone.prob_posture_LYING, alone.prob_posture_UPRIGHT, alone.prob_WALKING) == (0.5, 0.5, 0.0)
     with pytest.raises(ValueError):
         prediction.dense_scores(d, back, 1.0)
 
@@ -194,7 +199,7 @@ def test_command_line_from_recordings_to_intervals(spark, tmp_path, monkeypatch,
     signal.write.parquet(at("signal"))
     assert cli.main(["build-features", at("signal"), at("features")]) == 0
     assert cli.main(["train-gbdt", at("features"), at("cache/dense"), at("bundle"), "--trees", "2"]) == 0
-    assert "POSTURE_LYING" in json.loads(capsys.readouterr().out)["trained"]
+    assert boosting.POSTURE in json.loads(capsys.readouterr().out)["trained"]
     assert cli.main(["predict", at("signal"), at("bundle"), at("run"), "--causal"]) == 0
     assert spark.read.parquet(at("run/dense")).count() == 4 * 120
     assert cli.main(["check-data", at("marks")]) == 0 and cli.main(["train"]) == 2
