@@ -35,23 +35,63 @@ def merge_and_drop(intervals: DataFrame, by: list[str], merge_gap: Column, least
     return out.filter(F.col(end) - F.col(start) >= F.col("_least")).drop("_g", "_least")
 
 
-def with_bins(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
-    """One row per time bin that [low, high] touches: the equality key that turns a band join into a hash join."""
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+#: Levels of blocks: 2 ** 40 leaves are 34 years of milliseconds at a leaf of one.
+LEVELS = 40
+
+
+def _halved(n: Column, level: Column) -> Column:
+    """floor(n / 2 ** level), below zero too."""
+    return F.call_function("shiftright", n, level)
+
+
+def cover(df: DataFrame, start: Column, end: Column, leaf: int) -> DataFrame:
+    """One row per dyadic block (``_level``, ``_block``) of the leaves that [start, end) touches: at most two a level.
+
+    The blocks are disjoint, so a point lies in one of them at most. An interval of n leaves has at most 2 * log2(n) + 2
+    blocks; one that is empty touches the leaf of its start.
+    """
+    lo = F.floor(start / leaf).cast("long")
+    stop = F.floor(F.greatest(end - 1, start) / leaf).cast("long") + 1
+    up = lambda level: -_halved(-F.col("_first_leaf"), level)  # noqa: E731  ceiling
+    down = lambda level: _halved(F.col("_stop_leaf"), level)
+    odd = lambda n: F.pmod(n, F.lit(2)) == 1
+
+    def blocks(level: Column) -> Column:
+        a, b = up(level), down(level)
+        first, last = F.when((a < b) & odd(a), a), F.when((a < b) & odd(b), b - 1)
+        return F.transform(F.array_distinct(F.array_compact(F.array(first, last))), lambda n: F.struct(level.alias("_level"), n.alias("_block")))
+
+    tall = F.least(F.ceil(F.log2(F.col("_stop_leaf") - F.col("_first_leaf"))) + 1, F.lit(LEVELS)).cast("int")
+    rows = df.withColumn("_first_leaf", lo).withColumn("_stop_leaf", stop)
+    rows = rows.withColumn("_dyadic", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), tall), blocks))))
+    return rows.select(*df.columns, "_dyadic._level", "_dyadic._block")
 
 
 def points_in(points: DataFrame, intervals: DataFrame, by: list[str], time: str, start: str, end: str, width: int) -> DataFrame:
-    """Inner join of points with half-open intervals that hold them."""
-    binned = with_bins(intervals, F.col(start), F.greatest(F.col(end) - 1, F.col(start)), width)
-    return points.withColumn("_bin", F.floor(F.col(time) / width)).join(binned, [*by, "_bin"]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_bin")
+    """Inner join of points with half-open intervals that hold them.
+
+    Points and the dyadic blocks of intervals meet on equal keys, level by level; a point asks only the levels that some
+    interval uses. ``width`` is the leaf: intervals of about its length take one or two rows. Each pair comes once.
+    """
+    covered = cover(intervals, F.col(start), F.col(end), width)
+    used = covered.agg(F.collect_set("_level").alias("_used"))  # one row of at most LEVELS + 1 numbers
+    leaf = F.floor(F.col(time) / width).cast("long")
+    asked = points.join(F.broadcast(used), F.lit(True)).withColumn("_level", F.explode("_used"))
+    asked = asked.withColumn("_block", _halved(leaf, F.col("_level"))).drop("_used")
+    return asked.join(covered, [*by, "_level", "_block"]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_block")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str], width: int, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
-    """Pairs of intervals of the same group that overlap (half-open), each once: the first bin they share reports it."""
-    left = with_bins(a, F.col(a_range[0]), F.greatest(F.col(a_range[1]) - 1, F.col(a_range[0])), width)
-    right = with_bins(b, F.col(b_range[0]), F.greatest(F.col(b_range[1]) - 1, F.col(b_range[0])), width)
-    pairs = left.join(right, [*by, "_bin"]).filter((F.col(a_range[0]) < F.col(b_range[1])) & (F.col(a_range[1]) > F.col(b_range[0])))
-    return pairs.filter(F.col("_bin") == F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width)).drop("_bin")
+    """Pairs of intervals of the same group that overlap (half-open), each once.
+
+    Of two that overlap, one starts inside the other: starts of ``b`` are points in ``a``, and starts of ``a`` that come
+    later are points in ``b``.
+    """
+    (s1, e1), (s2, e2) = a_range, b_range
+    both = (F.col(s1) < F.col(e2)) & (F.col(e1) > F.col(s2))
+    inner = points_in(b, a, by, s2, s1, e1, width).filter(both)
+    outer = points_in(a, b, by, s1, s2, e2, width).filter(both & (F.col(s1) > F.col(s2)))
+    return inner.unionByName(outer)
 
 
 def with_overlap_flag(a: DataFrame, b: DataFrame, by: list[str], key: list[str], width: int, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
@@ -137,7 +177,7 @@ def snap(intervals: DataFrame, points: DataFrame, by: list[str], key: list[str],
 
 def interval_scores(intervals: DataFrame, points: DataFrame, by: list[str], key: list[str], time: str, score: str, width: int) -> DataFrame:
     """``max_prob`` of the points in each interval, rounded to 4 digits half to even, 0 if there are none."""
-    best = points_in(points.select(*by, time, score), intervals.select(*by, *key, "start_t", "end_t"), by, time, "start_t", "end_t", width).groupBy(*by, *key).agg(F.max(score).alias("max_prob"))
+    best = points_in(points.select(*by, time, score), intervals.select(*dict.fromkeys([*by, *key, "start_t", "end_t"])), by, time, "start_t", "end_t", width).groupBy(*by, *key).agg(F.max(score).alias("max_prob"))
     return intervals.join(best, [*by, *key], "left").withColumn("max_prob", F.coalesce(F.bround("max_prob", 4), F.lit(0.0)))
 
 

@@ -49,19 +49,19 @@ def multiclass(df: DataFrame, actual: str, predicted: str, classes: int, by: lis
     return right.join(macro, list(by)) if by else right.join(F.broadcast(macro), F.lit(True))  # one row each
 
 
-def curve(df: DataFrame, by: list[str], actual: str, score: str) -> DataFrame:
-    """Per distinct score, descending: predicted so far, true so far, positives and rows in all.
+def curve(df: DataFrame, by: list[str], actual: str, score: str) -> tuple[DataFrame, bool]:
+    """Per distinct score, descending: predicted so far, true so far, positives and rows in all (A17, A18); whether groups are few.
 
     Rows are grouped by score first, so that ties count once; running counts are those of ``prefix``, so a group of any
     number of distinct scores is spread over the tasks.
     """
     steps = df.groupBy(*by, score).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count(F.lit(1)).alias("_n"))
-    return running(steps, by, [F.col(score).desc()], {"tp": "pos", "called": "_n"}, {"positives": "pos", "rows": "_n"}).drop("_n")
+    return running(steps, by, [F.col(score).desc()], {"tp": "pos", "called": "_n"}, {"positives": "pos", "rows": "_n"})
 
 
 def average_precision(df: DataFrame, by: list[str], actual: str, score: str) -> DataFrame:
     """Sum of recall steps times precision, tied scores together; null unless both classes are there."""
-    c = curve(df, by, actual, score)
+    c, _ = curve(df, by, actual, score)
     both = (F.max("positives") > 0) & (F.max("positives") < F.max("rows"))
     return c.groupBy(*by).agg(F.when(both, F.sum(F.col("pos") / F.when(F.col("positives") > 0, F.col("positives")) * F.col("tp") / F.col("called"))).alias("average_precision"))
 
@@ -72,13 +72,14 @@ def choose_threshold(df: DataFrame, by: list[str], actual: str, score: str, beta
     A bound on the share called positive that no score meets is dropped.
     """
     b2 = beta * beta
-    c = curve(df, by, actual, score).filter((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
+    c, few = curve(df, by, actual, score)
+    c = c.filter((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
     p, r = F.col("tp") / F.col("called"), F.col("tp") / F.col("positives")
     c = c.withColumn("_f", F.when(b2 * p + r > 0, (1 + b2) * p * r / (b2 * p + r)).otherwise(0.0))
     within = F.col("called") / F.col("rows") <= (1.0 if most_positive is None else most_positive)
     tops = c.groupBy(*by).agg(F.max("_f").alias("_all"), F.max(F.when(within, F.col("_f"))).alias("_bounded"))
     tops = tops.select(*by, F.coalesce("_bounded", "_all").alias("best_f"), F.col("_bounded").isNotNull().alias("_bound"))
-    c = join_groups(c.withColumn("_ok", within), tops, by).filter((F.col("_ok") | ~F.col("_bound")) & (F.col("_f") >= F.col("best_f") - 1e-12))
+    c = join_groups(c.withColumn("_ok", within), tops, by, fits=few).filter((F.col("_ok") | ~F.col("_bound")) & (F.col("_f") >= F.col("best_f") - 1e-12))
     best = c.groupBy(*by).agg(F.min_by(score, F.struct(F.abs(F.col(score) - 0.5), score)).alias("threshold"), F.max("best_f").alias("best_f"))
     groups = df.select(*by).distinct()
     return groups.join(best, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))

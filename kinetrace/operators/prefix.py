@@ -24,8 +24,9 @@ def join_groups(d: DataFrame, other: DataFrame, keys: list[str], how: str = "inn
     return d.join(side, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], totals: dict[str, str] = {}) -> DataFrame:
-    """``df`` with running sums (name: column) along the order within ``by``, and the groups' totals (name: column).
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], totals: dict[str, str] = {}) -> tuple[DataFrame, bool]:
+    """``df`` with running sums (name: column) along the order within ``by``, and the groups' totals (name: column); and
+    whether tables of one row per group may be broadcast.
 
     ``by`` and ``order`` together name a row. The rows are written once, range by range, so that a repeated task sees the
     same ranges; the window runs within a group's rows of one range. Totals per range and group, at most one row per group
@@ -44,7 +45,7 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, s
     out = out.withColumns({name: F.col(f"_a_{c}") + F.sum(c).over(within) for name, c in sums.items()})
     if totals:
         out = join_groups(out, parts.groupBy(*by).agg(*[F.sum(f"_s_{c}").alias(name) for name, c in totals.items()]), by, fits=fits)
-    return out.drop("_range", *[f"_a_{c}" for c in columns])
+    return out.drop("_range", *[f"_a_{c}" for c in columns]), fits
 
 
 def quantiles(df: DataFrame, by: list[str], value: Column, at: dict[str, float]) -> DataFrame:
@@ -54,7 +55,7 @@ def quantiles(df: DataFrame, by: list[str], value: Column, at: dict[str, float])
     ``by`` there is one row, of nulls if there are no values.
     """
     counts = df.select(*by, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    r = running(counts, by, [F.col("_v")], {"_upto": "_n"}, {"_all": "_n"})
+    r, _ = running(counts, by, [F.col("_v")], {"_upto": "_n"}, {"_all": "_n"})
     first = F.col("_upto") - F.col("_n")
     spot = lambda p: (F.col("_all") - 1) * F.lit(p)
     of_rank = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("_upto")), F.col("_v")))

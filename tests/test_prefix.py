@@ -15,7 +15,8 @@ def rows():
 
 def test_running_and_spread(spark, rows):
     d = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).repartition(5)
-    out = prefix.running(d, ["k"], [F.col("v").desc()], {"upto": "n"}, {"all": "n"})
+    out, few = prefix.running(d, ["k"], [F.col("v").desc()], {"upto": "n"}, {"all": "n"})
+    assert few
     got = {}
     for x in out.collect():
         got.setdefault(x.k, []).append((x.v, x.n, x.upto, x.all))
