@@ -80,14 +80,14 @@ class Task:
         return cls(meta["name"], meta["features"], PipelineModel.load(f"{path}/model"), meta["threshold"], meta["threshold_source"])
 
 
-def train(df: DataFrame, name: str, label: str, cow: str, features: list[str] | None = None, settings: Settings = Settings(), mask: str | None = None) -> Task | None:
-    """Fit on all but the held-out animals, choose the threshold on those (M03); None when evidence is too thin.
+def train(df: DataFrame, name: str, label: str, cow: str, features: list[str] | None = None, settings: Settings = Settings(), mask: str | None = None, held: DataFrame | None = None) -> Task | None:
+    """Fit on all but the held-out animals (``held``, else a shuffled fifth), choose the threshold on those (M03); None when evidence is too thin.
 
     Positives weigh their odds, at most 1000 (M01). Under 50 held-out rows or 3 positives the threshold is 0.5.
     """
     features = features or feature_columns(df)
     rows = cleaned(df.filter(F.col(mask) == 1) if mask else df, features).withColumn("label", F.col(label).cast("double"))
-    held = holdout(rows, cow)
+    held = holdout(rows, cow) if held is None else held.select(cow).distinct()
     fit, check = rows.join(held, cow, "left_anti"), rows.join(held, cow, "left_semi")
     n, positives = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if n < LEAST_ROWS or positives < LEAST_POSITIVES or positives == n:

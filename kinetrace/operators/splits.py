@@ -59,6 +59,8 @@ def fold_sessions(folds: DataFrame, sessions: DataFrame, cow: str, session: str)
     return folds.join(sessions.select(cow, session).distinct(), cow).groupBy("fold", "role").agg(F.array_sort(F.collect_set(session)).alias("sessions"))
 
 
-def onto_rows(rows: DataFrame, predictions: DataFrame, key: str = "row_id") -> DataFrame:
-    """Predictions back on their rows by row id, the last of a repeated one first dropped by the caller (J16); rows without one keep nulls."""
-    return rows.join(predictions, key, "left")
+def onto_rows(rows: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions back on the rows that they were made for (J16). Rows without one keep nulls; one key predicted twice raises."""
+    once = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in predictions.columns if c not in keys])
+    once = once.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("a row was predicted twice")).cast("long")).otherwise(F.col("_n")))
+    return rows.join(once.filter(F.col("_n") == 1).drop("_n"), keys, "left")
