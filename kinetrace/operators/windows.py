@@ -57,10 +57,40 @@ def shifted_max(df: DataFrame, value: str, by: list[str], order: list[str], lo:
 
 
 def long_baseline(df: DataFrame, value: str, by: list[str], order: list[str], step: int = 50, window: int = 1800, name: str = "baseline") -> DataFrame:
-    """Trailing median of every ``step``-th row, held for ``step`` rows; always looks back only."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.withColumn("_block", F.floor((F.row_number().over(w) - 1) / step))
-    coarse = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order))).filter("_r = 1")
-    frame = Window.partitionBy(*by).orderBy("_block").rowsBetween(-(window - 1), 0)
-    coarse = coarse.select(*by, "_block", F.percentile(value, F.lit(0.5)).over(frame).alias(name))
-    return d.join(coarse, [*by, "_block"]).drop("_block")
+    """Trailing median of every ``step``-th row, held for ``step`` rows; always looks back only.
+
+    Groups stream in order through their partition. What is held is one batch and the last ``window`` values, which a
+    skip list keeps sorted; so a row costs the logarithm of the window. Nulls and NaN are left out of the median.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        now, at, tail, last = None, 0, np.empty(0), np.nan
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = [pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy() for c in by]
+            cuts = np.concatenate([[0], 1 + np.nonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0))[0] if n > 1 and ids else [], [n]]).astype(int)
+            x, out = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False), np.empty(n)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(batch.column(c)[int(lo)].as_py() for c in by)
+                if key != now:
+                    now, at, tail, last = key, 0, np.empty(0), np.nan
+                coarse = x[lo:hi][(-at) % step :: step]
+                both = np.concatenate([tail, coarse])
+                medians = pd.Series(both).rolling(window, min_periods=1).median().to_numpy()[len(tail) :]
+                places = (at + np.arange(hi - lo)) // step - (at + step - 1) // step  # -1: still the last batch's
+                out[lo:hi] = np.concatenate([medians, [last]])[places]
+                if len(coarse):
+                    last, tail = medians[-1], both[-(window - 1) :] if window > 1 else both[:0]
+                at += hi - lo
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=np.isnan(out))], names=[*batch.schema.names, name])
+
+    schema = df.withColumn(name, F.lit(0.0)).schema
+    schema.fields[-1].nullable = True
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
