@@ -11,8 +11,6 @@ Counters stop at 255 and the least number is at most that, so a cell is one byte
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +24,22 @@ CELLS = 1 << 16, 1 << 26
 BLOCK = 1 << 15
 #: Distinct terms that a worker holds before it empties its counts.
 HELD = 300_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of UTF-8: A-Z lower-cased, every other ASCII character that is no letter a blank.
+_TERMS = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def terms_of(text: str) -> list[str]:
-    return re.findall(TERM, text.encode().translate(_LOWER).decode())
+def terms_of(text: str) -> list[bytes]:
+    """The matches of ``TERM`` in UTF-8, A-Z lower-cased."""
+    return text.encode().translate(_TERMS).split()
 
 
-def cells(lang: str, terms: list[str], width: int):
+def cells(lang: str, terms: list[bytes], width: int):
     """Of each term its cell in every row, as array (rows, terms)."""
     import numpy as np
     import xxhash
 
-    head = lang + "\0"
-    h = np.fromiter((xxhash.xxh64_intdigest((head + t).encode()) for t in terms), "u8", len(terms))
+    head = lang.encode() + b"\0"
+    h = np.fromiter((xxhash.xxh64_intdigest(head + t) for t in terms), "u8", len(terms))
     step = (h >> np.uint64(32)) | np.uint64(1)
     with np.errstate(over="ignore"):
         return np.stack([(h + np.uint64(r) * step) % np.uint64(width) for r in range(ROWS)]).astype("i8")
@@ -134,7 +134,7 @@ def partial_counts(rows: DataFrame, estimates, width: int, least: int) -> DataFr
                 own = docs[lang, source]
                 for k in range(0, len(terms), 20_000):
                     some = terms[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some), pa.array([n[t] for t in some], pa.int64()), pa.array([own[t] for t in some], pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([own[t] for t in some], pa.int64())], names=names)
             counts.clear()
             docs.clear()
 

@@ -176,6 +176,13 @@ def test_divergence_against_loops(spark, monkeypatch, width):
     assert {tuple(x) for x in got} == audit_plain(rows, top=20) and len(got) == len(audit_plain(rows, top=20))
 
 
+def test_terms_are_those_of_the_pattern():
+    r = random.Random(1)
+    for _ in range(300):
+        t = "".join(chr(r.choice([r.randint(0, 127), r.randint(128, 0x2FFF), 0x85, 0xA0, 0x2028, 0x1F600])) for _ in range(60))
+        assert [x.decode() for x in divergence.terms_of(t)] == re.findall(divergence.TERM, t.translate(AZ))
+
+
 def test_sketch_never_underestimates(spark):
     rows = [("en", "s", " ".join(f"t{chr(97 + j)}{chr(97 + i % 20)}" for j in range(26))) for i in range(300)]
     d = spark.createDataFrame([(*x, 1, "z") for x in rows], SCHEMA).repartition(4).withColumn("t", F.col("text"))
@@ -183,7 +190,7 @@ def test_sketch_never_underestimates(spark):
 
     for width in (64, 4096):
         held = np.frombuffer(divergence.sketch(d, width), "u1").reshape(divergence.ROWS, width)
-        terms = [f"t{chr(97 + j)}{chr(97 + k)}" for j in range(26) for k in range(20)]
+        terms = [f"t{chr(97 + j)}{chr(97 + k)}".encode() for j in range(26) for k in range(20)]
         least = held[np.arange(divergence.ROWS)[:, None], divergence.cells("en", terms, width)].min(axis=0)
         assert (least >= 15).all()
     assert (least == 15).mean() > 0.5
