@@ -56,11 +56,11 @@ def test_exact_splits_behind_long_shared_prefixes(spark):
     assert tuple(got) == (1000, 2, 2)
 
 
-@pytest.mark.parametrize("keep", ["max"])
+@pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_hot_rows_that_are_equal(spark, keep, monkeypatch):
     """A third of all rows are one text: without keys, under one key, and under keys of their own."""
     monkeypatch.setattr(exact, "partitions", lambda spark: 16)
-    for own in (lambda i: None, lambda i: i % 2):
+    for own in (lambda i: None, lambda i: 5, lambda i: i, lambda i: i % 2):
         rows = [(own(i), "hot", "s") if i % 3 == 0 else (i, f"text {i}", "s") for i in range(1500)]
         d = docs(spark, rows)
         assert any(p > 1 for _, p in exact.splitters(d.select(F.col("text").alias("t")), 16))
