@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .drivers import cache, prediction, training
-from .functions.vocabulary import DEPRECATED, EVENTS, RATE_PER_HOUR, STATES
+from .functions.vocabulary import DEPRECATED, EVENTS, RATE_PER_HOUR, STATES, events_table
 from .models import boosting
 from .operators import features, mining, reports, splits
 from .session import build
@@ -32,9 +32,11 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--caches")
     v.add_argument("--folds")
     v.add_argument("--features")
-    v = verbs.add_parser("diagnose", help="audit and balance of an annotation table, as Markdown, or as JSON below a folder too")
+    v = verbs.add_parser("diagnose", help="audit, evaluability and balance of an annotation table, and of what is given beside it, as Markdown, or as JSON below a folder too")
     v.add_argument("annotations")
     v.add_argument("--out")
+    for name in ("segments", "coverage", "folds", "points"):
+        v.add_argument(f"--{name}")
     v = verbs.add_parser("build-cache", help="recordings (JSON documents, named by session) to a labelled session cache")
     v.add_argument("recordings")
     v.add_argument("annotations")
@@ -87,7 +89,8 @@ def main(argv: list[str] | None = None) -> int:
         return int(rows[0]["verdict"] == "FAIL")
     elif a.verb == "diagnose":
         d = sinks.read_table(spark, a.annotations)
-        tables = {"annotations": reports.annotation_audit(d, "code", "cow_id", "session_id", "t_start_rel_ms", "t_end_rel_ms", 0.001), "balance": reports.balance(d, "cow_id")}
+        given = [sinks.read_table(spark, p) if p else None for p in (a.segments, a.coverage, a.folds, a.points)]
+        tables = reports.diagnostics(d, events_table(spark), *given)
         found = {k: [r.asDict() for r in t.collect()] for k, t in tables.items()}
         print("\n\n".join(f"## {k}\n\n{sinks.markdown(rows)}" for k, rows in found.items()))
         if a.out:

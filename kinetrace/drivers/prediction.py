@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import EVENTS, MERGE_GAP_MS, MIN_LENGTH_MS, STEP_MS
+from ..functions.vocabulary import EVENTS, MERGE_GAP_MS, MIN_LENGTH_MS, NAMES, STEP_MS
 from ..models.boosting import Task, predict
 from ..operators import intervals
 from ..sources import sinks
@@ -29,7 +29,7 @@ def dense_scores(features: DataFrame, tasks: list[Task], threshold: float | None
 
 
 def candidates(dense: DataFrame, limits: dict[str, float], events: tuple[str, ...] = EVENTS, boundary: str | None = None, postprocess: bool = True) -> DataFrame:
-    """Event intervals of every session and event with their highest probability.
+    """Event intervals of every session and event with their label, highest probability and threshold.
 
     All events are assembled in one pass over the long form; each has its own threshold, merge gap and least length.
     """
@@ -42,7 +42,9 @@ def candidates(dense: DataFrame, limits: dict[str, float], events: tuple[str, ..
     found = intervals.assemble_events(long, by, "t", "score", 1.0, 0.6 if postprocess else 1.0, GAP_MS, STEP_MS, gap, least, edge)
     raw = long.select(*by, "t", (F.col("score") * F.col("high")).alias("score"))
     out = intervals.interval_scores(found.withColumn("place", F.col("start_t")), raw, by, ["place"], "t", "score", width)
-    return out.select(*by, "start_t", "end_t", ((F.col("end_t") - F.col("start_t")) / 1000.0).alias("duration_s"), "max_prob")
+    of_code = lambda values: F.element_at(F.create_map(*[F.lit(v) for e in events for v in (e, values[e])]), F.col("event_code"))
+    seconds = ((F.col("end_t") - F.col("start_t")) / 1000.0).alias("duration_s")
+    return out.select(*by, of_code({e: NAMES[e][0] for e in events}).alias("label"), "start_t", "end_t", seconds, "max_prob", of_code(limits).cast("double").alias("threshold"))
 
 
 def write_run(dense: DataFrame, found: DataFrame, path: str, manifest: dict) -> None:

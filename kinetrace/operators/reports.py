@@ -63,6 +63,26 @@ def fold_report(assigned: DataFrame, sizes: DataFrame, cow: str, least: int = 10
     return d.groupBy("fold").agg(*[F.count_if(F.col("role") == r).alias(f"{r}_cows") for r in ("train", "validation", "test")], F.coalesce(F.sum(F.when(F.col("role") == "test", F.col("n"))), F.lit(0)).alias("test_samples")).withColumn("usable", F.col("test_samples") >= least)
 
 
+def diagnostics(annotations: DataFrame, vocabulary: DataFrame, segments_: DataFrame | None = None, reviews: DataFrame | None = None, folds: DataFrame | None = None, points: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sections of a data report by name, those whose tables are given.
+
+    ``annotations`` has code, cow_id, session_id, t_start_rel_ms, t_end_rel_ms; ``segments_`` cache_key, start_index,
+    stop_index (50 Hz); ``reviews`` session_id, event_code, exhaustive_reviewed, t_start_rel_ms, t_end_rel_ms; ``folds`` fold,
+    cow_id, role; ``points`` cow_id, one row per supervised point.
+    """
+    audit = annotation_audit(annotations, "code", "cow_id", "session_id", "t_start_rel_ms", "t_end_rel_ms", 0.001)
+    out = {"annotations": audit, "evaluability": evaluability(vocabulary, audit, "code").select("code", "annotations", "animals", "evaluable"), "balance": balance(annotations if points is None else points, "cow_id")}
+    if segments_ is not None:
+        out["segments"] = segments(segments_, (F.col("stop_index") - F.col("start_index")) / 50.0)
+        out["segments per session"] = segment_histogram(segments_, F.col("cache_key"))
+    if reviews is not None:
+        out["coverage"] = coverage(reviews, "event_code", ["session_id"], F.col("exhaustive_reviewed").cast("boolean"), (F.col("t_end_rel_ms") - F.col("t_start_rel_ms")) / 3_600_000.0)
+    if folds is not None:
+        sizes = (annotations if points is None else points).groupBy("cow_id").agg(F.count(F.lit(1)).alias("n"))
+        out["folds"] = fold_report(folds, sizes, "cow_id")
+    return out
+
+
 def channel_statistics(df: DataFrame, by: list[str], order: list[str], channels: list[str], first: int = 200_000) -> DataFrame:
     """Mean and deviation per channel over the first rows of each session; variance floored at 1e-8."""
     d = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= first)

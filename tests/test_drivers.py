@@ -205,3 +205,22 @@ def test_command_line_from_recordings_to_intervals(spark, tmp_path, monkeypatch,
     assert cli.main(["check-data", at("marks")]) == 0 and cli.main(["train"]) == 2
     assert cli.main(["diagnose", at("marks"), "--out", at("report")]) == 0
     assert "LYING" in spark.read.text(at("report/diagnostics")).first()[0]
+
+
+def test_diagnostics_and_candidate_columns(spark):
+    marks = spark.createDataFrame([("URINATION", f"c{i % 3}", f"s{i}", 0, 1000 * (i + 1)) for i in range(12)] + [("LYING", "c0", "s0", 0, 500)], "code string, cow_id string, session_id string, t_start_rel_ms long, t_end_rel_ms long")
+    bounds = spark.createDataFrame([("k1", 0, 500), ("k1", 600, 700), ("k2", 0, 50)], "cache_key string, start_index long, stop_index long")
+    reviews = spark.createDataFrame([("s1", "URINATION", 1, 0, 7_200_000), ("s2", "URINATION", 0, 0, 999), ("s2", "MOUNTING", 0, 0, 5)], "session_id string, event_code string, exhaustive_reviewed int, t_start_rel_ms long, t_end_rel_ms long")
+    cows = spark.createDataFrame([(1, "c0", "test"), (1, "c1", "train"), (1, "c2", "validation")], "fold long, cow_id string, role string")
+    got = {k: [r.asDict() for r in t.collect()] for k, t in reports.diagnostics(marks, vocabulary.events_table(spark), bounds, reviews, cows).items()}
+    audit = {r["code"]: r for r in got["annotations"]}
+    assert (audit["URINATION"]["median_s"], audit["URINATION"]["animals"], audit["LYING"]["annotations"]) == (6.5, 3, 1)
+    able = {r["code"]: r["evaluable"] for r in got["evaluability"]}
+    assert able["URINATION"] and not able["MOUNTING"] and set(able) == {*vocabulary.EVENTS, *vocabulary.DEPRECATED}
+    assert (got["segments"][0]["segments"], got["segments"][0]["median_s"]) == (3, 2.0) and {(r["segments"], r["sessions"]) for r in got["segments per session"]} == {(1, 1), (2, 1)}
+    assert got["coverage"] == [{"event_code": "URINATION", "reviewed_hours": 2.0, "sessions": 1, "verdict": "claimable"}]
+    assert (got["folds"][0]["test_samples"], got["folds"][0]["usable"]) == (5, False) and got["balance"][0]["animals"] == 3
+    assert set(reports.diagnostics(marks, vocabulary.events_table(spark))) == {"annotations", "evaluability", "balance"}
+    dense = spark.createDataFrame([("k", "c", "d", "s", i * 500, 0.9 if 4 <= i < 20 else 0.1) for i in range(40)], "cache_key string, cow_id string, device_mac string, session_id string, center_time_ms long, prob_URINATION double")
+    one = prediction.candidates(dense, {"URINATION": 0.7}, ("URINATION",)).collect()
+    assert [(x.label, x.threshold, x.start_t, x.end_t, x.max_prob) for x in one] == [("urination", 0.7, 2000, 10000, 0.9)]
