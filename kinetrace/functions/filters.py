@@ -31,6 +31,12 @@ def butterworth(order: int, cutoff: float | tuple[float, float], rate: float) ->
     return sections
 
 
+def settling(sections: np.ndarray, rest: float = 1e-13) -> int:
+    """Samples after which the slowest pole has left at most ``rest`` of what the filter started from."""
+    slowest = max(np.sqrt(s[5]) for s in sections)  # poles are conjugate pairs
+    return int(np.ceil(np.log(rest) / np.log(slowest)))
+
+
 @lru_cache(maxsize=256)
 def _block_form(section: tuple[float, ...]) -> tuple[np.ndarray, ...]:
     """Of one section: a block's response to itself, to the state before it, what it leaves, and the state's step."""

@@ -127,3 +127,34 @@ def test_references_and_build_against_loops(spark):
     assert [r.center_index for r in built] == [0, 25, 50, 75]
     for k in features.names(2):
         assert [getattr(r, k) for r in built] == pytest.approx([w[k] for w in want], rel=2e-4, abs=2e-4), k
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_derived_series_of_a_block_with_its_halo(causal):
+    """What a filter forgot before the block is below 1e-9 of every series."""
+    block = motion(12_000)
+    unit, scale, _ = plain_reference([block], causal)
+    whole = features.series(block, causal, unit, scale, 2)
+    before, after = features.halo(causal)
+    lo, hi = 6_000, 7_000
+    part = features.series(block[lo - before : hi + after], causal, unit, scale, 2)
+    for k, v in whole.items():
+        assert part[k][before : before + hi - lo] == pytest.approx(v[lo:hi], rel=1e-9, abs=1e-9), k
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_split_segments_equal_whole_ones(spark, monkeypatch, causal):
+    """Segments of several blocks, one ending just behind a block's end, one short; the index has holes and starts below zero."""
+    monkeypatch.setattr(features, "BLOCK", 4_000)
+    segments = [motion(21_300), motion(4_003, 2), motion(50, 3)]
+    index = [np.arange(len(b)) * (1 + s) + 37 * (np.arange(len(b)) // 900) - 500 for s, b in enumerate(segments)]
+    rows = [("a", s, int(index[s][i]), *map(float, v), i % 2) for s, block in enumerate(segments) for i, v in enumerate(block)]
+    got = features.build(spark.createDataFrame(rows, KIND).repartition(7), causal=causal).toPandas()
+    unit, scale, _ = plain_reference(segments, causal)
+    for s, block in enumerate(segments):
+        centres = np.arange(0, len(block), 25)
+        want = features.bank(block, np.arange(len(block)) % 2, centres, causal, unit, scale, 2)
+        mine = got[got.segment_id == s].sort_values("center_index")
+        assert list(mine.center_index) == list(index[s][centres])
+        for k in features.names(2):
+            assert mine[k].to_numpy() == pytest.approx(want[k], rel=1e-6, abs=1e-6), (s, k)
