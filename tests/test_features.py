@@ -144,10 +144,10 @@ def test_derived_series_of_a_block_with_its_halo(causal):
 
 @pytest.mark.parametrize("causal", [True, False])
 def test_split_segments_equal_whole_ones(spark, monkeypatch, causal):
-    """Segments of several blocks, one ending just behind a block's end, one short; the index has holes and starts below zero."""
+    """Segments of several blocks, one ending just behind a block's end, one short; the index has holes in some buckets and starts below zero."""
     monkeypatch.setattr(features, "BLOCK", 4_000)
     segments = [motion(21_300), motion(4_003, 2), motion(50, 3)]
-    index = [np.arange(len(b)) * (1 + s) + 37 * (np.arange(len(b)) // 900) - 500 for s, b in enumerate(segments)]
+    index = [np.arange(len(b)) * (1 + s) + 37 * (np.arange(len(b)) // 9_000) - 500 for s, b in enumerate(segments)]
     rows = [("a", s, int(index[s][i]), *map(float, v), i % 2) for s, block in enumerate(segments) for i, v in enumerate(block)]
     got = features.build(spark.createDataFrame(rows, KIND).repartition(7), causal=causal).toPandas()
     unit, scale, _ = plain_reference(segments, causal)
