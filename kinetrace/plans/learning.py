@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import boosting
+from ..operators import features
 from ..sources.scratch import shared_dir
 from ..sources.tables import HOUR, POINTS, points, table
 from ..streaming import causal
 from .catalog import query
-from .signal import MACHINE, SMOOTHED, postures
+from .signal import MACHINE, SMOOTHED, postures, signal
 
 
 @query("gbdt_score")
@@ -65,3 +66,21 @@ def stream_state_machine(spark, sf):
     """The posture state machine as a stateful stream; equals the batch form."""
     d = postures(spark, sf).drop("target")
     return replay(spark, d, "posture", lambda s: causal.state_machine(s, "entity", "t", MACHINE), ["entity"], "t")
+
+
+LATE = f"(SELECT max(t) - {HOUR} FROM p)"
+
+
+@query("stream_ordered_runs", f"WITH {POINTS}, q AS (SELECT * FROM p WHERE score >= 0.5 AND t <= {LATE}), b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY entity ORDER BY t) > {12 * HOUR} THEN 1 ELSE 0 END AS b FROM q), g AS (SELECT *, sum(b) OVER (PARTITION BY entity ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM b), r AS (SELECT entity, min(t) AS start_t, max(t) AS last FROM g GROUP BY entity, g), c AS (SELECT r.*, (SELECT count(*) FROM p WHERE p.entity = r.entity AND p.t > r.last + {12 * HOUR} AND p.t <= {LATE}) AS later FROM r) SELECT entity, start_t, last + {HOUR} AS end_t FROM c WHERE later > 0 OR last + {12 * HOUR} < {LATE}")
+def stream_ordered_runs(spark, sf):
+    """Intervals from points that come up to an hour late; they end by the watermark, without a later point (2.10g)."""
+    p = points(spark, sf).select("entity", "t", "score", (F.col("t") + F.pmod(F.xxhash64("id"), F.lit(HOUR))).alias("came"))
+    return replay(spark, p, "ordered", lambda s: causal.ordered_runs(s, "entity", "t", "score", 0.5, 12 * HOUR, HOUR, "1 hour"), ["entity"], "came")
+
+
+@query("stream_feature_bank")
+def stream_feature_bank(spark, sf):
+    """The causal features as a stream with the signal's last samples in state; equals the batch form (2.10a, 2.10f)."""
+    d = signal(spark, sf)
+    known = features.references(d, "cache_key", "segment_id", "frame_index", True)
+    return replay(spark, d, "features", lambda s: causal.feature_bank(s, known), ["cache_key", "segment_id"], "frame_index")

@@ -1,16 +1,19 @@
-"""Causal operators on Structured Streaming (section 2.10): sessions, day counts, state machine, event intervals.
+"""Causal operators on Structured Streaming (section 2.10): sessions, day counts, state machine, event intervals, features.
 
 Only operators that look back may run on a stream. Late rows beyond the watermark are dropped; batch plans keep them.
+``in_order`` holds rows until the watermark has passed them, so that rows late within it take their place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import filters
+from ..operators import features
 from ..operators.posture import Machine, State
 
 
@@ -106,3 +109,118 @@ def positive_runs(stream: DataFrame, entity: str, time: str, score: str, thresho
         yield pd.DataFrame(done, columns=[entity, "start_t", "end_t"])
 
     return stream.select(entity, time, score).groupBy(entity).applyInPandasWithState(run, out, "start long, last long, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def in_order(stream: DataFrame, entity: str, time: str, values: list[str], late: str, out: str, carry: str, step: Callable) -> DataFrame:
+    """A stateful operator over rows in order of event time, whatever order they come in (2.10g).
+
+    Rows wait in state until the watermark, ``late`` behind the newest time of any entity, has passed them; event-time
+    timers give them out although no more rows of their entity come. ``step(key, rows, carry, mark)`` gets the rows that
+    are due, sorted by time and values (a float matrix of those columns), the carried tuple (None at first) and the
+    watermark in ms; it returns result rows, the new carry, and the time at which it wants to be called without rows, or
+    None. ``time`` is long ms. What is held is the rows of one lateness per entity. A replay gives what the batch form
+    gives for rows up to the last watermark.
+    """
+    fields = [f.strip().rsplit(" ", 1) for f in out.split(",")]
+    kinds = {"long": "int64", "int": "int32", "double": "float64"}
+    n, columns = len(carry.split(",")), [time, *values]
+
+    def run(key, frames: Iterator, held: GroupState) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        waiting, *carried = held.get if held.exists else (b"", *[None] * n)
+        known = held.exists and carried[0] is not None
+        rows = [np.frombuffer(waiting, float).reshape(-1, len(columns))]
+        if not held.hasTimedOut:
+            rows += [f[columns].to_numpy(float) for f in frames]
+        rows, mark = np.concatenate(rows), held.getCurrentWatermarkMs()
+        rows = rows[np.lexsort(rows.T[::-1])]
+        due = np.searchsorted(rows[:, 0], mark, "right")
+        done, after, alarm = step(key, rows[:due], tuple(carried) if known else None, mark)
+        rest = rows[due:]
+        held.update((rest.tobytes(), *(after or [None] * n)))
+        times = [t for t in (rest[0, 0] if len(rest) else None, alarm) if t is not None]
+        if times:
+            held.setTimeoutTimestamp(max(int(min(times)), mark + 1))
+        yield pd.DataFrame([(key[0], *d) for d in done], columns=[f for f, _ in fields]).astype({f: kinds[k] for f, k in fields if k in kinds})
+
+    rows = stream.select(entity, *columns, F.timestamp_millis(time).alias("_event")).withWatermark("_event", late)
+    return rows.groupBy(entity).applyInPandasWithState(run, out, f"waiting binary, {carry}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ordered_runs(stream: DataFrame, entity: str, time: str, score: str, threshold: float, gap: int, step: int, late: str) -> DataFrame:
+    """``positive_runs`` over rows in order of event time; an interval ends once the watermark is past its last point by the gap."""
+
+    def run(key, rows, carry, mark):
+        start, last = carry[1:] if carry else (None, None)
+        done = []
+        for t, v in rows:
+            if start is not None and t - last > gap:
+                done.append((start, last + step))
+                start = None
+            if v >= threshold:
+                start, last = (int(t) if start is None else start), int(t)
+        if start is not None and mark > last + gap:
+            done.append((start, last + step))
+            start = None
+        return done, (1, start, last if start is not None else None), None if start is None else last + gap + 1
+
+    return in_order(stream, entity, time, [score], late, f"{entity} long, start_t long, end_t long", "known int, start long, last long", run)
+
+
+def ordered_state_machine(stream: DataFrame, entity: str, time: str, late: str, machine: Machine = Machine()) -> DataFrame:
+    """``state_machine`` over rows in order of event time: rows late within the watermark count as in the batch form."""
+
+    def run(key, rows, carry, mark):
+        last, *held = carry or (None, -1, 0, 0)
+        s, done = State(*held), []
+        for t, *scores in rows:
+            if last is not None and (t == last or t - last > machine.gap):
+                s = State()
+            done.append((int(t), s.step(machine, *scores)))
+            last = int(t)
+        return done, (last, s.state, s.asking, s.dwell) if last is not None else None, None
+
+    return in_order(stream, entity, time, ["upright", "lying", "up", "down"], late, f"{entity} long, {time} long, state_sm int", "last long, state int, asking int, dwell int", run)
+
+
+def feature_bank(stream: DataFrame, references: DataFrame, session: str = "cache_key", segment: str = "segment_id", index: str = "frame_index", version: int = 2, step: int = 25) -> DataFrame:
+    """The causal feature bank as a stream: columns as in ``features.build`` but for the segment's position and length, which only its end tells.
+
+    ``references`` has session, ux, uy, uz, gyro_scale, known before. State per segment: the rows that windows and filters
+    still feel (about 230 kB) and the coarse tilts of the baseline. The first 64 rows of a segment are held until
+    there are so many, as the batch form treats shorter segments apart; those give nothing here. Rows of a micro-batch
+    are put in order; rows that are not later than the last one seen are dropped.
+    """
+    cols, coarse_rows = [c for c in features.names(version) if c not in ("segment_position", "segment_length")], features.COARSE
+    before, _ = features.halo(True)
+    columns = [index, *features.CHANNELS, "quality"]
+    kind = {c: stream.schema[c].dataType.simpleString() for c in (session, segment)}
+
+    def run(key, frames: Iterator, held: GroupState) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        total, given, rows, coarse = held.get if held.exists else (0, 0, b"", b"")
+        rows, coarse = np.frombuffer(rows, float).reshape(-1, len(columns)), np.frombuffer(coarse, float)
+        new = pd.concat(list(frames)).sort_values(index, kind="stable")
+        unit, scale = new[["ux", "uy", "uz"]].iloc[0].to_numpy(float), float(new["gyro_scale"].iloc[0])
+        fresh = new[columns].to_numpy(float)
+        fresh = fresh[fresh[:, 0] > rows[-1, 0]] if len(rows) else fresh
+        rows, total = np.concatenate([rows, fresh]), total + len(fresh)
+        first, centre = total - len(rows), -(-given // step) * step
+        if total < 64 or centre >= total:
+            held.update((total, given, rows.tobytes(), coarse.tobytes()))
+            return
+        core, following = centre // coarse_rows * coarse_rows, -(-total // step) * step // coarse_rows * coarse_rows
+        centres = np.arange(centre, total, step)
+        out = features.bank(rows[:, 1:7], rows[:, 7], centres - first, True, unit, scale, version, first, core - first, total, coarse)
+        static, _ = filters.gravity_split(rows[:, 1:4], True)
+        coarse = np.concatenate([coarse, features.tilts(static[core - first : max(following - first, 0) : coarse_rows], unit)])[-features.BASELINE :]
+        held.update((total, total, rows[-before:].tobytes(), coarse.tobytes()))
+        yield pd.DataFrame({session: key[0], segment: key[1], "center_index": rows[centres - first, 0].astype("i8"), **{c: out[c] for c in cols}})
+
+    known = stream.select(session, segment, *columns).join(references.select(session, "ux", "uy", "uz", "gyro_scale"), session)
+    out = f"{session} {kind[session]}, {segment} {kind[segment]}, center_index long, " + ", ".join(f"{c} float" for c in cols)
+    return known.groupBy(session, segment).applyInPandasWithState(run, out, "total long, given long, rows binary, coarse binary", "append", GroupStateTimeout.NoTimeout)
