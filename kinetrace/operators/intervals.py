@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import small, written
 from .timeline import over
 
 
@@ -105,15 +106,44 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0)) / F.greatest(F.greatest(e1, e2) - F.least(s1, s2), F.lit(1))
 
 
-def greedy(pairs: DataFrame, by: list[str], rank: list[Column], truth: str, pred: str) -> DataFrame:
+#: Candidate pairs of one group up to which one task folds them.
+FOLDED = 1_000_000
+
+
+def best_pairs(pairs: DataFrame, by: list[str], ranks: list[str]) -> DataFrame:
+    """Pairs (by, t, p) that are the first choice of both their sides: any greedy order takes them."""
+    first = F.min(F.struct(*ranks, "t", "p")).alias("_best")
+    sides = [pairs.groupBy(*by, side).agg(first).select(*by, "_best.t", "_best.p") for side in "tp"]
+    return sides[0].join(sides[1], [*by, "t", "p"])
+
+
+def greedy(pairs: DataFrame, by: list[str], rank: list[Column], truth: str, pred: str, folded: int = FOLDED) -> DataFrame:
     """One-to-one matching in ascending rank: a row (by, t, p) per match.
 
-    The fold is sequential by nature. A group's candidate pairs stream in order through their partition; only the
-    numbers already matched are held.
+    A group of at most ``folded`` pairs is folded: its pairs stream in order through their partition and only the numbers
+    already matched are held. Larger groups go by rounds over all tasks: pairs that are best for both sides are matched,
+    and the other pairs of what they hold are dropped, which is what the fold would do. Once a group is small enough, or
+    a round drops under a tenth of the pairs (long chains, each pair waiting for the one before), the fold ends it.
+    Pairs with a null side or group match nothing.
     """
     ranks = [f"_r{i}" for i in range(len(rank))]
     rows = pairs.select(*by, *[c.alias(r) for c, r in zip(rank, ranks, strict=True)], F.col(truth).cast("long").alias("t"), F.col(pred).cast("long").alias("p"))
-    rows = rows.repartition(*by).sortWithinPartitions(*by, *ranks, "t", "p").select(*by, "t", "p")
+    rows = written(rows.filter(F.col("t").isNotNull() & F.col("p").isNotNull()).dropna(subset=by), "pairs")
+    matched = []
+    while True:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        hot = sizes.filter(F.col("_size") > folded).select(*by)
+        before = sizes.filter(F.col("_size") > folded).agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+        if not before:
+            break
+        large, rest = rows.join(small(hot), by, "left_semi"), rows.join(small(hot), by, "left_anti")
+        taken = written(best_pairs(large, by, ranks), "matched")
+        left = large.join(taken.select(*by, "t"), [*by, "t"], "left_anti").join(taken.select(*by, "p"), [*by, "p"], "left_anti")
+        left = written(left.select(rows.columns), "pairs")
+        matched.append(taken)
+        rows = left.unionByName(rest)
+        if left.count() > 0.9 * before:
+            break
 
     def fold(frames):
         now, truths, preds = None, set(), set()
@@ -128,7 +158,11 @@ def greedy(pairs: DataFrame, by: list[str], rank: list[Column], truth: str, pred
                     taken.append(i)
             yield pdf.iloc[taken]
 
-    return rows.mapInPandas(fold, rows.schema)
+    order = rows.repartition(*by).sortWithinPartitions(*by, *ranks, "t", "p").select(*by, "t", "p")
+    out = order.mapInPandas(fold, order.schema)
+    for taken in matched:
+        out = out.unionByName(taken)
+    return out
 
 
 def listed(matched: DataFrame, by: list[str]) -> DataFrame:

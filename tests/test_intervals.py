@@ -1,8 +1,10 @@
 """Interval joins over dyadic blocks against loops: long, short, empty and negative intervals."""
 
 import math
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.operators import intervals
@@ -34,3 +36,31 @@ def test_points_and_overlaps_against_loops(spark):
         got = [(x.i, x.j) for x in intervals.overlap_pairs(da, db, ["g"], leaf, ("s", "e"), ("s2", "e2")).collect()]
         assert sorted(got) == sorted((i, j) for i, g, s, e in a for j, h, s2, e2 in b if g == h and s < e2 and e > s2)
     assert intervals.points_in(dp, da.limit(0), ["g"], "t", "s", "e", 16).count() == 0
+
+
+def plain_greedy(pairs):
+    """Pairs in order of group, rank and numbers; each side once."""
+    truths, preds, out = set(), set(), []
+    for g, r, t, p in sorted(pairs, key=lambda x: (x[0], x[1], x[2], x[3])):
+        if (g, t) not in truths and (g, p) not in preds:
+            truths.add((g, t))
+            preds.add((g, p))
+            out.append((g, t, p))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("folded", [0, 3, 40, 10**6])
+def test_matching_by_rounds_equals_the_fold(spark, folded):
+    """Groups with ties, a chain in which each pair waits for the one before, one side that meets all, repeated pairs."""
+    r = random.Random(3)
+    pairs = [("many", r.randrange(4), r.randrange(30), r.randrange(30)) for _ in range(200)]
+    pairs += [("chain", i, (i + 1) // 2, i // 2) for i in range(60)]
+    pairs += [("hub", 60 - i, 0, i) for i in range(60)] + [("one", 0, 1, 1)] * 3
+    d = spark.createDataFrame(pairs, "g string, r int, a int, b int")
+    got = intervals.greedy(d, ["g"], [F.col("r")], "a", "b", folded)
+    assert sorted(map(tuple, got.collect())) == plain_greedy(pairs)
+
+
+def test_matching_of_no_pairs(spark):
+    d = spark.createDataFrame([(None, 1, 1, 1), ("x", 1, None, 1), ("x", 1, 1, None)], "g string, r int, a int, b int")
+    assert intervals.greedy(d, ["g"], [F.col("r")], "a", "b").count() == 0
