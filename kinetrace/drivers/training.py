@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import EVENTS
-from ..models.boosting import POSTURE, Settings, Task, feature_columns, train
+from ..models.boosting import POSTURE, Settings, Task, feature_columns, train_many
 from ..sources import sinks
 from ..sources.scratch import written
 
@@ -25,13 +25,13 @@ def targets(df: DataFrame) -> DataFrame:
 def train_tasks(df: DataFrame, cow: str = "cow_id", features: list[str] | None = None, settings: Settings = Settings(), version: int = 2, held: DataFrame | None = None) -> tuple[list[Task], dict]:
     """(tasks, summary): every task whose evidence suffices, trained on its supervised rows; skipped ones are in the summary.
 
-    The feature table is written once with the targets; each task reads it with its own mask.
+    The feature table is written once with the targets; all tasks grow level by level in the same jobs.
     """
     features = features or feature_columns(df)
     rows = written(targets(df).select(cow, *features, *[f"{k}_{t}" for t in TASKS for k in ("label", "use")]), "training-rows")
-    found = [(t, train(rows, t, f"label_{t}", cow, features, settings, mask=f"use_{t}", held=held)) for t in TASKS]
-    tasks = [t for _, t in found if t is not None]
-    skipped = {name: "under 50 rows or 3 positives" for name, t in found if t is None}
+    found = train_many(rows, {t: (f"label_{t}", f"use_{t}") for t in TASKS}, cow, features, settings, held)
+    tasks = [found[t] for t in TASKS if t in found]
+    skipped = {name: "under 50 rows or 3 positives" for name in TASKS if name not in found}
     return tasks, {"feature_version": version, "features": features, "trained": [t.name for t in tasks], "skipped": skipped, "thresholds": {t.name: t.threshold for t in tasks}, "threshold_sources": {t.name: t.threshold_source for t in tasks}, "importance": {t.name: t.importance()[:20] for t in tasks}}
 
 

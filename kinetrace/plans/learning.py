@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import boosting
+from ..models import boosting, trees
 from ..operators import features
 from ..sources.scratch import shared_dir
 from ..sources.tables import HOUR, POINTS, points, table
@@ -22,6 +22,38 @@ def gbdt_score(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("prob_HIT", 6).alias("prob_HIT"), (F.col("prob_HIT") >= F.col("threshold_HIT")).alias("hit"))
 
 
+def level_sql(k: int) -> str:
+    """Tables of one level of the tree: sums per value, the best split per node, and the rows' nodes below."""
+    values = " UNION ALL ".join(f"SELECT node, {f} AS f, x{f} AS v, g, h FROM n{k}" for f in range(3))
+    return (
+        f"h{k} AS (SELECT node, f, v, sum(g) AS g, sum(h) AS h FROM ({values}) GROUP BY node, f, v), "
+        f"c{k} AS (SELECT node, f, v, CAST(sum(g) OVER u AS DOUBLE) / 1048576 AS gl, CAST(sum(h) OVER u AS DOUBLE) / 1048576 AS hl, CAST(sum(g) OVER a AS DOUBLE) / 1048576 AS g, CAST(sum(h) OVER a AS DOUBLE) / 1048576 AS h FROM h{k} WINDOW u AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY node, f)), "
+        f"s{k} AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM c{k} WHERE hl >= 5 AND h - hl >= 5), "
+        f"b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS i FROM s{k} WHERE gain > 1e-6) WHERE i = 1), "
+        f"n{k + 1} AS (SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN CASE b.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END > b.v THEN 2 * r.node + 2 ELSE 2 * r.node + 1 END AS node) FROM n{k} r LEFT JOIN b{k} b ON b.node = r.node)"
+    )
+
+
+TREE_SQL = (
+    "WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2, l_quantity + 4 * l_linenumber > 36 AS y FROM lineitem), "
+    "w AS (SELECT least(count(*) FILTER (NOT y) / count(*) FILTER (y), 1000.0) AS w FROM d), "
+    "n0 AS (SELECT d.*, 0 AS node, CAST(round(CASE WHEN y THEN w * -0.5 ELSE 0.5 END * 1048576) AS BIGINT) AS g, CAST(round(CASE WHEN y THEN w ELSE 1 END * 0.25 * 1048576) AS BIGINT) AS h FROM d, w), "
+    + ", ".join(level_sql(k) for k in range(3))
+    + ", v AS (SELECT node, -0.3 * (CAST(sum(g) AS DOUBLE) / 1048576) / (CAST(sum(h) AS DOUBLE) / 1048576 + 1) AS v FROM n3 GROUP BY node) "
+    "SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-v)), 9) AS prob FROM n3 JOIN v USING (node)"
+)
+
+
+@query("boosted_tree", TREE_SQL)
+def boosted_tree(spark, sf):
+    """One tree of second order with L2 = 1 and hessian sums of 5 per child over all line items, and its scores."""
+    label = F.when(F.col("l_quantity") + 4 * F.col("l_linenumber") > 36, 2).otherwise(1).alias("state")
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(("l_quantity", "l_discount", "l_tax"))], label)
+    no, yes = d.agg(F.count(F.when(F.col("state") == 1, 1)), F.count(F.when(F.col("state") == 2, 1))).first()
+    forest = trees.fit_forests(d, ["x0", "x1", "x2"], ["state"], [min(no / yes, boosting.MOST_WEIGHT)], trees=1, rate=0.3, depth=3, subsample=1.0, columns=1.0, least_child=5.0, l2=1.0, bins=256, seed=1)
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", F.round(trees.probabilities(forest)[0], 9).alias("prob"))
+
+
 #: Rows that a replay gives to one micro-batch, all of which may be of one entity.
 SLICE = 200_000
 
