@@ -219,7 +219,8 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
 
     Returns one row per shard (shard, path, docs, ids, first_id) and the marks between shards. Shards hold consecutive
     key ranges, as many as the texts' characters ask for; null keys come first; rows of one key stand together by
-    ascending ids, but a key of more than a shard's rows goes over several by the checksum of its ids. Null text is the end id alone; rows that
+    ascending ids, but a key of more than a shard's rows goes over several
+    by the checksum of its ids, the task and the turn among equal rows of it. Null text is the end id alone; rows that
     repeat are documents of their own. An empty table writes nothing. Marks are quantiles of the keys.
     """
     path, spark = tokenizer or default_tokenizer(), df.sparkSession
@@ -235,14 +236,18 @@ def write_store(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
 
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        task, turns = TaskContext.get().partitionId(), {}
         run, end = encoder(path), end_id.to_bytes(4, "little")
         narrow = lambda x: x if width == 4 else np.frombuffer(x, "<u4").astype("<u2").tobytes()
         for batch in batches:
             ids = [narrow(run(t.as_py()) + end) for t in batch.column("t")]
             shard, pieces = ranges.of(batch.column("key").to_numpy())
             for i in np.nonzero(pieces > 1)[0]:
-                shard[i] += zlib.crc32(ids[i]) * int(pieces[i]) >> 32
+                own = batch.column("key")[i].as_py(), zlib.crc32(ids[i])  # equal rows of a hot key are dealt by task and turn
+                turns[own] = turns.get(own, 0) + 1
+                shard[i] += zlib.crc32(b"%d %d %d" % (own[1], task, turns[own])) * int(pieces[i]) >> 32
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("key"), pa.array(ids, pa.binary())], names=["shard", "key", "ids"])
 
     def save(batches):

@@ -77,7 +77,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
 
     Null or empty text is a document of the end id alone. Rows that repeat a key are documents of their own, told
     apart by nothing but their pieces; equal rows too. Null keys stay null. An empty table gives an empty result;
-    extra columns are ignored. A task holds one short count per distinct row of less than a sequence.
+    extra columns are ignored. Rows are dealt over blocks by their content, their task and their turn among equal rows of
+    it, so that any number of equal rows spreads, whatever the number of tasks. A task holds one short count per distinct
+    row of less than a sequence (some 200 bytes each).
     """
     path = tokenizer or default_tokenizer()
     rows = df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("t"))
@@ -129,6 +131,6 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     cuts = rows.mapInArrow(cut, _CUTS)
-    block = F.pmod(F.xxhash64("id", "doc_tokens", "rest", "twin"), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64("id", "doc_tokens", "rest", "twin", F.spark_partition_id()), F.lit(blocks)).alias("block")
     packed = cuts.select(block, "id", "doc_tokens", "crcs", "rest").groupBy("block").applyInArrow(place, PIECES)
     return packed.withColumnRenamed("id", key)

@@ -166,6 +166,22 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, digest string")
 
 
+def test_equal_rows_of_a_key_spread_over_shards(spark):
+    d = spark.range(0, 6000, 1, 20).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words").alias("text"))
+    manifest, marks = idstore.write_store(d, shared_dir(spark, "ids"), shards=8)
+    held = [r.docs for r in manifest.collect()]
+    assert sum(held) == 6000 and len(held) >= 7 and max(held) < 2 * 6000 / len(held)
+    got = idstore.read_store(d, manifest, marks).agg(F.count("start"), F.countDistinct("start"), F.countDistinct("ids_crc32")).first()
+    assert tuple(got) == (6000, 6000, 1)
+
+
+def test_equal_rows_of_many_tasks_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 64)
+    d = spark.range(0, 2000, 1, 20).select(F.lit(7).alias("doc_id"), F.lit("same words").alias("text"))
+    blocks = [r["count"] for r in packing.pack(d).groupBy(F.shiftright("sequence_id", 40)).count().collect()]
+    assert sum(blocks) >= 2000 and len(blocks) == 32 and max(blocks) < 2 * 64
+
+
 def test_warc_round_trip(spark):
     got = warc.round_trip(pages(spark, PAGES).repartition(3)).collect()
     want = []
