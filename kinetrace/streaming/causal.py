@@ -41,14 +41,15 @@ def sliding_mean(stream: DataFrame, entity: str, time: str, value: str, rows: in
         import pandas as pd
 
         last, ring = (held.get[0], list(held.get[1])) if held.exists else (None, [])
-        new = pd.concat(list(frames)).sort_values([time, value], kind="stable")
-        new = new[new[time] >= last] if last is not None else new
-        if len(new):
-            joined = np.array([*ring, *new[value]])
+        t, v = (np.concatenate(x) for x in zip(*[(f[time].to_numpy(), f[value].to_numpy()) for f in frames], strict=True))
+        order = np.lexsort((v, t))
+        order = order[t[order] >= last] if last is not None else order
+        if len(order):
+            t, joined = t[order], np.concatenate([ring, v[order]])
             sums, stop = np.concatenate([[0.0], np.cumsum(joined)]), np.arange(len(ring) + 1, len(joined) + 1)
             first = np.maximum(stop - rows, 0)
-            held.update((int(new[time].iloc[-1]), joined[-(rows - 1) :].tolist() if rows > 1 else []))
-            yield pd.DataFrame({entity: key[0], time: new[time], "mean": (sums[stop] - sums[first]) / (stop - first), "points": stop - first})
+            held.update((int(t[-1]), joined[-(rows - 1) :].tolist() if rows > 1 else []))
+            yield pd.DataFrame({entity: key[0], time: t, "mean": (sums[stop] - sums[first]) / (stop - first), "points": stop - first})
 
     cols = stream.select(entity, time, value)
     return cols.groupBy(entity).applyInPandasWithState(step, f"{entity} long, {time} long, mean double, points long", "last long, ring array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -64,13 +65,15 @@ def state_machine(stream: DataFrame, entity: str, time: str, machine: Machine =
     out = f"{entity} long, {time} long, state_sm int"
 
     def step(key, frames: Iterator, held: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         last, state, asking, dwell = held.get if held.exists else (None, -1, 0, 0)
         values = ["upright", "lying", "up", "down"]
-        rows = pd.concat(list(frames)).sort_values([time, *values], kind="stable")
+        columns = [np.concatenate(x) for x in zip(*[[f[c].to_numpy() for c in (time, *values)] for f in frames], strict=True)]
+        order = np.lexsort(columns[::-1])
         s, done = State(state, asking, dwell), []
-        for t, upright, lying, up, down in rows[[time, *values]].itertuples(index=False):
+        for t, upright, lying, up, down in zip(*[c[order].tolist() for c in columns], strict=True):
             if last is not None and t < last:
                 continue
             if last is not None and (t == last or t - last > machine.gap):
@@ -92,11 +95,13 @@ def positive_runs(stream: DataFrame, entity: str, time: str, score: str, thresho
     out = f"{entity} long, start_t long, end_t long"
 
     def run(key, frames: Iterator, held: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         start, last, seen = held.get if held.exists else (None, None, None)
-        rows, done = pd.concat(list(frames)).sort_values(time, kind="stable"), []
-        for t, v in rows[[time, score]].itertuples(index=False):
+        columns = [np.concatenate(x) for x in zip(*[(f[time].to_numpy(), f[score].to_numpy()) for f in frames], strict=True)]
+        order, done = np.argsort(columns[0], kind="stable"), []
+        for t, v in zip(*[c[order].tolist() for c in columns], strict=True):
             if seen is not None and t < seen:
                 continue
             seen = t
