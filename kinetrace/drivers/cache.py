@@ -52,11 +52,10 @@ def build_cache(raw: DataFrame, annotations: DataFrame, calibration: DataFrame,
     about = annotations.groupBy(KEY).agg(F.min("cow_id").alias("cow_id"), F.countDistinct("cow_id").alias("cows"), F.min("device_mac").alias("device_mac"), F.countDistinct("device_mac").alias("devices"))
     about = about.join(calibration.select(KEY, F.coalesce("eligible", F.lit(True)).alias("eligible")), KEY, "left").join(raw.select(KEY, F.col("error").alias("read_error"), F.lit(True).alias("has_raw")), KEY, "left")
     known = F.when(F.col("eligible").isNull(), "missing calibration").when(~F.col("eligible"), "").when((F.col("cows") != 1) | (F.col("devices") != 1), "not one animal and one device").when(F.col("has_raw").isNull(), "missing recording").otherwise(F.coalesce("read_error", F.lit("")))
-    about = about.withColumn("early", known)
+    about = written(about.withColumn("early", known), "cache-about")
     usable = about.filter("eligible AND early = ''").select(KEY, "cow_id", "device_mac")
-    frames, notes = recordings.decode_frames(raw.join(usable.select(KEY), KEY, "left_semi"), KEY)
+    frames, notes = recordings.decode_frames(raw.join(usable.select(KEY), KEY, "left_semi"), KEY, once=True)
     signal, segments = timeline.resample_session(frames, [KEY], "place", "elapsed_ms", list(recordings.RAW_CHANNELS))
-    segments = written(segments, "cache-segments")
     grid = timeline.label_grid(segments, [KEY, "segment_id", "start_index", "start_ms"], "start_index", "stop_index", GRID)
     points = grid.select(KEY, "segment_id", F.col("center").alias("center_index"), (F.col("start_ms") + 20 * (F.col("center") - F.col("start_index"))).alias("center_time_ms"))
     dense = labels.label_points(points.join(usable, KEY), annotations.select(KEY, "code", "start_t", "end_t"), [KEY], "center_time_ms", width, strict=False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.intervals import points_in
+from .scratch import written
 
 # Fixed layout: little-endian u4 elapsed_ms and nine i2.
 RAW_CHANNELS = ("acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z", "mag_raw_x", "mag_raw_y", "mag_raw_z")
@@ -66,17 +67,40 @@ def decode(payload: bytes | None) -> dict:
 DIAGNOSTICS = "frame_offset int, dropped_prefix int, dropped_trailing int, score double, frames long, error string"
 
 
-def decode_frames(df: DataFrame, key: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(frames, diagnostics): one row per frame with its place, elapsed_ms and raw channels; one row per payload."""
+def decode_frames(df: DataFrame, key: str, payload: str = "payload", once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(frames, diagnostics): one row per frame with its place, elapsed_ms and raw channels; one row per payload.
+
+    With ``once`` both come from one pass over the payloads, whose rows are written. A worker holds one decoded payload.
+    """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, payload)
+    frame_kinds, note_kinds = f"{key} {kind}, place long, elapsed_ms long, " + ", ".join(f"{c} short" for c in RAW_CHANNELS), f"{key} {kind}, {DIAGNOSTICS}"
+
+    def both(batches):
+        import pyarrow as pa
+
+        note = {"frame_offset": pa.int32(), "dropped_prefix": pa.int32(), "dropped_trailing": pa.int32(), "score": pa.float64(), "frames": pa.int64(), "error": pa.string()}
+        own = {"place": pa.int64(), "elapsed_ms": pa.int64(), **dict.fromkeys(RAW_CHANNELS, pa.int16())}
+        for batch in batches:
+            for k, p in zip(batch.column(0), batch.column(1), strict=True):
+                d = decode(p.as_py())
+                n = 0 if d["ms"] is None else len(d["ms"])
+                if n:
+                    found = [np.arange(n), d["ms"], *np.ascontiguousarray(d["values"].T)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, k.type), *map(pa.array, found), *[pa.nulls(n, t) for t in note.values()]], names=[key, *own, *note])
+                told = [pa.array([n if c == "frames" else d[c]], t) for c, t in note.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), *[pa.nulls(1, t) for t in own.values()], *told], names=[key, *own, *note])
+
+    if once:
+        d = written(rows.mapInArrow(both, f"{frame_kinds}, {DIAGNOSTICS}"), "decoded")
+        return tuple(d.filter(keep).select(key, *[c.split()[0] for c in kinds.split(", ")[1:]]) for keep, kinds in (("place IS NOT NULL", frame_kinds), ("place IS NULL", note_kinds)))
 
     def frames(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = decode(p)
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                d = decode(p.as_py())
                 if d["ms"] is not None and len(d["ms"]):
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(d["ms"]), batch.schema.field(0).type), pa.array(np.arange(len(d["ms"]))), pa.array(d["ms"]), *[pa.array(np.ascontiguousarray(d["values"][:, i])) for i in range(9)]], names=[key, "place", "elapsed_ms", *RAW_CHANNELS])
 
@@ -84,11 +108,11 @@ def decode_frames(df: DataFrame, key: str, payload: str = "payload") -> tuple[Da
         import pyarrow as pa
 
         for batch in batches:
-            found = [decode(p) for p in batch.column(1).to_pylist()]
+            found = [{**d, "ms": None, "values": None, "frames": 0 if d["ms"] is None else len(d["ms"])} for d in (decode(p.as_py()) for p in batch.column(1))]
             cols = [pa.array([d[c] for d in found], t) for c, t in (("frame_offset", pa.int32()), ("dropped_prefix", pa.int32()), ("dropped_trailing", pa.int32()), ("score", pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([0 if d["ms"] is None else len(d["ms"]) for d in found], pa.int64()), pa.array([d["error"] for d in found], pa.string())], names=[key, "frame_offset", "dropped_prefix", "dropped_trailing", "score", "frames", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([d["frames"] for d in found], pa.int64()), pa.array([d["error"] for d in found], pa.string())], names=[key, "frame_offset", "dropped_prefix", "dropped_trailing", "score", "frames", "error"])
 
-    return rows.mapInArrow(frames, f"{key} {kind}, place long, elapsed_ms long, " + ", ".join(f"{c} short" for c in RAW_CHANNELS)), rows.mapInArrow(notes, f"{key} {kind}, {DIAGNOSTICS}")
+    return rows.mapInArrow(frames, frame_kinds), rows.mapInArrow(notes, note_kinds)
 
 
 def packed(ms: Column, values: list[Column]) -> Column:
@@ -97,6 +121,11 @@ def packed(ms: Column, values: list[Column]) -> Column:
     return F.unhex(F.concat(low(ms, 4), *[low(v, 2) for v in values]))
 
 
+def joined(frames: Column) -> Column:
+    """An array of binaries as one, in time linear in its length."""
+    return F.unhex(F.array_join(F.transform(frames, F.hex), ""))
+
+
 def write_cache(signal: DataFrame, path: str, cow: str = "cow_id") -> None:
     """Counts as shorts, partitioned by animal; refuses to overwrite and any value that is not a finite 16-bit count."""
     out = signal
