@@ -68,6 +68,13 @@ def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray) -> np.ndarray:
     return out.reshape(BLOCK, whole, channels).transpose(1, 0, 2).reshape(-1, channels)[:n]
 
 
+@lru_cache(maxsize=256)
+def _steady(section: tuple[float, ...]) -> np.ndarray:
+    """The state of a section at which an input of one has stood for ever."""
+    b0, b1, b2, _, a1, a2 = section
+    return np.linalg.solve(np.array([[1 + a1, -1.0], [a2, 1.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]))
+
+
 def forward(sections: np.ndarray, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """Causal filtering of (n,) or (n, channels), from rest or as if ``start`` had stood for ever."""
     y = np.asarray(x, float).reshape(len(x), -1)
@@ -76,8 +83,7 @@ def forward(sections: np.ndarray, x: np.ndarray, start: np.ndarray | None = None
         state = np.zeros((2, y.shape[1]))
         if level is not None:
             b0, b1, b2, _, a1, a2 = s
-            steady = np.linalg.solve(np.array([[1 + a1, -1.0], [a2, 1.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]))
-            state = steady[:, None] * level
+            state = _steady(tuple(s))[:, None] * level
             level = level * ((b0 + b1 + b2) / (1 + a1 + a2))
         y = _section(y, s, state)
     return y.reshape(np.shape(x))

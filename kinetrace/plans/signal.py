@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import filters, geometry
 from ..operators import features, metrics, posture
 from ..sources import recordings
+from ..sources.scratch import written
 from ..sources.tables import HOUR, POINTS, SAMPLES, points, samples, table
 from .catalog import query
 
@@ -70,8 +71,7 @@ def payloads(spark, sf):
     n = F.col("x").cast("long")
     frame = recordings.packed(F.col("i") * 20, [n, -n, n * 100, n * 7 - 200, F.col("k2"), -F.col("k2"), F.col("i") % 300, F.col("i") % 7, n - n])
     f = s.select("entity", F.struct("i", frame.alias("f")).alias("s")).groupBy("entity").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    body = F.aggregate("s", F.lit("").cast("binary"), lambda a, b: F.concat(a, b["f"]))
-    return f.select("entity", F.concat(F.unhex(F.lit("0A0B0C")), body).alias("payload"))
+    return f.select("entity", F.concat(F.unhex(F.lit("0A0B0C")), recordings.joined(F.col("s.f"))).alias("payload"))
 
 
 @query("decode_frames", f"WITH {SAMPLES}, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY k0, k1, k2, k3, y) AS i FROM s) SELECT entity, i * 20 AS elapsed_ms, x::INT AS acc_x, -x::INT AS acc_y, (x * 100)::INT AS acc_z, (x * 7 - 200)::INT AS gyro_x, k2 AS gyro_y, -k2 AS gyro_z, i % 300 AS mag_raw_x, i % 7 AS mag_raw_y, 0 AS mag_raw_z FROM i")
@@ -157,13 +157,13 @@ def session_reference(spark, sf):
 @query("feature_bank")
 def feature_bank(spark, sf):
     """The 120 causal features at the decision points."""
-    return features.build(signal(spark, sf))
+    return features.build(written(signal(spark, sf), "feature-signal"))
 
 
 @query("bandpass_energy")
 def bandpass_energy(spark, sf):
     """Band energies of the feature bank, centred windows, version 1."""
-    d = features.build(signal(spark, sf), causal=False, version=1)
+    d = features.build(written(signal(spark, sf), "feature-signal"), causal=False, version=1)
     return d.select("cache_key", "segment_id", "center_index", *[f"band_{b}_energy_mean_5s" for b in features.BANDS])
 
 
