@@ -112,6 +112,11 @@ def deletion_keys(words: DataFrame) -> DataFrame:
     return words.select("id", "word").mapInArrow(run, "key long, id long, lo int, hi int")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side that grows with the words: never broadcast, though Spark sizes words by their compressed files, and keys by the words they are made of."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b, word_a, n_a, word_b, n_b of words exactly one insertion, deletion or replacement apart, in both orders.
 
@@ -124,11 +129,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     other = keys.select("key", F.col("id").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     same_place = (F.col("lo") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi"))
     one_is_key = (F.col("lo") < 0) != (F.col("lo_b") < 0)
-    met = keys.join(other, "key").filter((F.col("id") < F.col("b")) & (one_is_key | ((F.col("lo") >= 0) & (F.col("lo_b") >= 0) & same_place)))
+    met = keys.join(by_shuffle(other), "key").filter((F.col("id") < F.col("b")) & (one_is_key | ((F.col("lo") >= 0) & (F.col("lo_b") >= 0) & same_place)))
     # a collision may repeat a near pair's key, so pairs are made distinct before they are counted
     pairs = met.select(F.col("id").alias("a"), "b").distinct()
     side = lambda x: words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    pairs = pairs.join(by_shuffle(side("a")), "a").join(by_shuffle(side("b")), "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
     flipped = [F.col(f"{c}{x}").alias(f"{c}{y}") for x, y in (("b", "a"), ("a", "b")) for c in ("", "word_", "n_")]
     return pairs.unionByName(pairs.select(*flipped))
 
@@ -139,7 +144,7 @@ def roots(forms: DataFrame) -> DataFrame:
     done = todo.filter("ends")
     while not todo.isEmpty():
         hops = todo.unionByName(done).select(F.col("id").alias("at"), F.col("at").alias("next"))  # an ended row hops to its root
-        step = cut(todo.join(hops, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.col("next").isNull().alias("ends")), "spelling-hops")
+        step = cut(todo.join(by_shuffle(hops), "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.col("next").isNull().alias("ends")), "spelling-hops")
         done, todo = done.unionByName(step.filter("ends")), step.filter("NOT ends")
     return done.select("id", F.col("at").alias("root"))
 
@@ -157,8 +162,8 @@ def variants(df: DataFrame, key: str = "doc_id", text: str = "text", least_lengt
     fits = F.col("best.neg") <= -times * F.col("own")
     near = cut(near.select("id", "n_near", *[F.when(fits, c).alias(a) for c, a in ((F.col("best.form"), "form"), (F.col("best.form_id"), "form_id"), (-F.col("best.neg"), "form_n"))]), "spelling-near")
     ends = roots(near.filter("form_id IS NOT NULL"))
-    named = ends.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    out = words.join(near, "id", "left").join(named, "id", "left")
+    named = ends.join(by_shuffle(words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    out = words.join(by_shuffle(near), "id", "left").join(by_shuffle(named), "id", "left")
     return out.select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

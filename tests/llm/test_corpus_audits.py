@@ -125,6 +125,22 @@ def test_spelling_empty_and_repeats(spark):
     assert [tuple(x) for x in spelling.variants(table(spark, [(2, "letters"), (2, "letters"), (2, "letters")])).collect()] == [("letters", None, "letters", 3, 0, None)]
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Every side grows with the words, and Spark takes keys to be as many as the words they are made of; not even small ones are broadcast."""
+    plans, cut = [], spelling.cut
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "cut", lambda df, name: cut(ran(df), name))
+    rows = ran(spelling.variants(table(spark, [(i, "chaina chainab chainab chainabc chainabc chainabc chainabc") for i in range(9)]))).collect()
+    assert {x.word: x.root for x in rows} == dict.fromkeys(("chaina", "chainab", "chainabc"), "chainabc")
+    joins = [plan.count("Join") for plan in plans]
+    assert sum(joins) >= 7 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_deletion_keys_agree_with_strings(spark):
     rows = spark.createDataFrame([(0, "abbc"), (1, "abc"), (2, "abbbc"), (3, "éé")], "id long, word string")
     keys = {}
