@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from kinetrace.drivers import folds
 from kinetrace.functions import vocabulary
 from kinetrace.models import boosting
-from kinetrace.operators import splits
+from kinetrace.operators import metrics, splits
+from kinetrace.plans import drivers
+from kinetrace.plans import folds as _plans  # noqa: F401  (registers fold_events)
+from kinetrace.plans.catalog import QUERIES
+
+from .test_entry import SF
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +47,37 @@ def test_boosted_folds(spark, rows, tmp_path):
         folds.run_folds(rows, bad.filter("fold = 9"))
 
 
+@pytest.mark.parametrize("where", ["fit", "worker"])
+def test_an_error_is_no_result(spark, rows, where):
+    """A fold that the code or a worker fails in ends the run; one whose animals allow no task is a row of the summary."""
+    cows = splits.grouped_folds(rows, "cow_id", 3)
+    first = {r.cow_id for r in cows.filter("fold = 1 AND role = 'train'").collect()}
+
+    def fit(train, validation, why=RuntimeError):
+        broken = {r.cow_id for r in train.select("cow_id").distinct().collect()} == first
+        if broken and (where == "fit" or why is folds.Unfit):
+            raise why("lost")
+        return [drivers.Ratio(boosting.POSTURE, F.raise_error(F.lit("lost")).cast("double") if broken else F.col("f1"), 0.5)]
+
+    with pytest.raises(Exception, match="lost"):
+        folds.run_folds(rows, cows, fit)
+    run = folds.run_folds(rows, cows, lambda train, validation: fit(train, validation, folds.Unfit))
+    lost = {r.cow_id for r in cows.filter("fold = 1 AND role = 'test'").collect()}
+    assert [tuple(r) for r in run.failed.collect()] == [(1, "Unfit: lost")] and not lost & {r.cow_id for r in run.scored.select("cow_id").distinct().collect()}
+
+
+def test_fold_events_does_not_leave_out_a_failed_fold(spark, monkeypatch):
+    choose, asked = metrics.choose_threshold, []
+
+    def broken(*args, **more):
+        asked.append(1)
+        return choose(*args, **more) if len(asked) != 2 else spark.range(1).select(F.raise_error(F.lit("lost")))
+
+    monkeypatch.setattr(metrics, "choose_threshold", broken)
+    with pytest.raises(Exception, match="lost"):
+        QUERIES["fold_events"](spark, SF)
+
+
 def test_predictions_onto_rows(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, i int")
     found = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.7)], "k string, i int, p double")
