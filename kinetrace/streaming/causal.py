@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import filters
 from ..operators import features
 from ..operators.posture import Machine, State
 
@@ -196,22 +195,36 @@ def feature_bank(stream: DataFrame, references: DataFrame, session: str = "cache
     ``references`` has session, ux, uy, uz, gyro_scale, known before. State per segment: the rows that windows and filters
     still feel (about 230 kB) and the coarse tilts of the baseline. The first 64 rows of a segment are held until
     there are so many, as the batch form treats shorter segments apart; those give nothing here. Rows of a micro-batch
-    are put in order; rows that are not later than the last one seen are dropped.
+    are put in order; rows that are not later than the last one seen are dropped. Rows of a segment that come together
+    travel as one row, so that the shuffle, the join and Python's call per segment don't handle single samples.
     """
     cols, coarse_rows = [c for c in features.names(version) if c not in ("segment_position", "segment_length")], features.COARSE
     before, _ = features.halo(True)
     columns = [index, *features.CHANNELS, "quality"]
     kind = {c: stream.schema[c].dataType.simpleString() for c in (session, segment)}
 
+    def pack(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for table in (pa.Table.from_batches([b]) for b in batches if b.num_rows):
+            order, found = features.parts(table, [session, segment])
+            x, first = np.column_stack([table.column(c).to_numpy() for c in columns])[order].astype(float), pa.array(order[[one.start for one in found]])
+            keys = [table.column(c).combine_chunks().take(first) for c in (session, segment)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([x[one].tobytes() for one in found], pa.binary())], names=[session, segment, "_rows"])
+
     def run(key, frames: Iterator, held: GroupState) -> Iterator:
         import numpy as np
         import pandas as pd
 
         total, given, rows, coarse = held.get if held.exists else (0, 0, b"", b"")
         rows, coarse = np.frombuffer(rows, float).reshape(-1, len(columns)), np.frombuffer(coarse, float)
-        new = pd.concat(list(frames)).sort_values(index, kind="stable")
-        unit, scale = new[["ux", "uy", "uz"]].iloc[0].to_numpy(float), float(new["gyro_scale"].iloc[0])
-        fresh = new[columns].to_numpy(float)
+        new = []
+        for f in frames:
+            new += [np.frombuffer(x, float).reshape(-1, len(columns)) for x in f["_rows"]]
+            *unit, scale = f["_reference"].iloc[0]
+        fresh, unit = np.concatenate(new), np.array(unit)
+        fresh = fresh[np.argsort(fresh[:, 0], kind="stable")]
         fresh = fresh[fresh[:, 0] > rows[-1, 0]] if len(rows) else fresh
         rows, total = np.concatenate([rows, fresh]), total + len(fresh)
         first, centre = total - len(rows), -(-given // step) * step
@@ -220,12 +233,16 @@ def feature_bank(stream: DataFrame, references: DataFrame, session: str = "cache
             return
         core, following = centre // coarse_rows * coarse_rows, -(-total // step) * step // coarse_rows * coarse_rows
         centres = np.arange(centre, total, step)
-        out = features.bank(rows[:, 1:7], rows[:, 7], centres - first, True, unit, scale, version, first, core - first, total, coarse)
-        static, _ = filters.gravity_split(rows[:, 1:4], True)
-        coarse = np.concatenate([coarse, features.tilts(static[core - first : max(following - first, 0) : coarse_rows], unit)])[-features.BASELINE :]
+        series = features.series(rows[:, 1:7], True, unit, scale, version)
+        out = features.bank(rows[:, 1:7], rows[:, 7], centres - first, True, unit, scale, version, first, core - first, total, coarse, series)
+        coarse = np.concatenate([coarse, series["tilt"][core - first : max(following - first, 0) : coarse_rows]])[-features.BASELINE :]
         held.update((total, total, rows[-before:].tobytes(), coarse.tobytes()))
-        yield pd.DataFrame({session: key[0], segment: key[1], "center_index": rows[centres - first, 0].astype("i8"), **{c: out[c] for c in cols}})
+        done = pd.DataFrame(np.column_stack([out[c] for c in cols]), columns=cols)  # one block of floats, not a column each
+        for i, (name, value) in enumerate(((session, key[0]), (segment, key[1]), ("center_index", rows[centres - first, 0].astype("i8")))):
+            done.insert(i, name, value)
+        yield done
 
-    known = stream.select(session, segment, *columns).join(references.select(session, "ux", "uy", "uz", "gyro_scale"), session)
+    packed = stream.select(session, segment, *columns).mapInArrow(pack, f"{session} {kind[session]}, {segment} {kind[segment]}, _rows binary")
+    known = packed.join(references.select(session, F.array("ux", "uy", "uz", "gyro_scale").alias("_reference")), session)
     out = f"{session} {kind[session]}, {segment} {kind[segment]}, center_index long, " + ", ".join(f"{c} float" for c in cols)
     return known.groupBy(session, segment).applyInPandasWithState(run, out, "total long, given long, rows binary, coarse binary", "append", GroupStateTimeout.NoTimeout)
